@@ -68,3 +68,18 @@ def fresh_name(name: str, taken) -> str:
         k += 1
         new = f"{name}_{k}"
     return new
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once per application."""
+    if spark.sparkContext.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    own = tempfile.mkdtemp(prefix="corpusloom-zip-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    made = shutil.make_archive(os.path.join(own, "corpusloom_package"), "zip", os.path.dirname(here), os.path.basename(here))
+    spark.sparkContext.addPyFile(made)
+    _SHIPPED.add(spark.sparkContext.applicationId)
