@@ -248,7 +248,7 @@ class SimilarTexts:
         if not 0.5 <= threshold <= 1:
             raise ValueError("the bands are made for thresholds from 0.5 on")
         spark = rows.sparkSession
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.rows = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).filter(
             F.col("id").isNotNull() & (F.length("text") >= least_chars)
         )

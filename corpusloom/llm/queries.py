@@ -1,7 +1,7 @@
 """Queries of this subpackage, with their SQL where SQL can express them."""
 
-from corpusloom.llm import near_duplicate_queries
+from corpusloom.llm import leakage_queries, near_duplicate_queries, neighbour_queries
 
-_MODULES = [near_duplicate_queries]
+_MODULES = [near_duplicate_queries, neighbour_queries, leakage_queries]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
