@@ -35,12 +35,20 @@ ORDER = 5
 PER_LANGUAGE = 400
 #: Bits by which a sentence must be shorter in another language than in the text's main one.
 MARGIN = 12.0
+#: Languages written in scripts of their own. To them a word of Latin letters is a name: it costs what the Latin language that
+#: knows it best takes, and FOREIGN bits.
+OWN_SCRIPT = ("zh", "ja", "hi")
+FOREIGN = 3.0
+_OWN = [LANGUAGES.index(x) for x in OWN_SCRIPT]
 
 _CJK = r"぀-ヿ㐀-鿿"
 _TOKEN = re.compile(rf"[{_CJK}]+|(?:(?![{_CJK}])[^\W\d_]|[̀-ͯऀ-ॣ॰-ॿ'’])+")
 _IS_CJK = re.compile(rf"[{_CJK}]")
-_UNIT = re.compile(r"[^.!?。！？।\n]*(?:[.!?。！？।]+[\"'”’»«)\]）】」』]*|\n\s*|$)")
-_TERMINAL = re.compile(r"[.!?。！？।][\"'”’»«)\]）】」』]*\Z")
+_CLOSING = r"[\"'”’»«)\]）】」』]*"
+#: An end mark of scripts without spaces, or one before white space and no small letter or digit, or a line break.
+_UNIT = re.compile(rf"(?:[^.!?。！？।\n]|[.!?]+(?!{_CLOSING}(?:\s+[^\sa-z0-9]|\s*\Z|[{_CJK}ऀ-ॿ])))*(?:[。！？।]+{_CLOSING}|[.!?]+{_CLOSING}|\n\s*|\Z)")
+_TERMINAL = re.compile(rf"[.!?。！？।]{_CLOSING}\Z")
+_BULLET = re.compile(r"\s*(?:[-*•–]|\d+[.)])(?:\s|\Z)")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -148,7 +156,10 @@ class ByteModels:
         cost += np.where(open_, 8, 0)  # no context knows the byte
         out = np.zeros((len(words), n), np.float32)
         np.add.at(out, word, cost)
-        return out
+        latin = np.fromiter((w[-1] < "\u0370" or "\u1e00" <= w[-1] < "\u1f00" for w in words), bool, len(words))
+        best = np.delete(out, _OWN, axis=1).min(axis=1)
+        out[np.ix_(latin, _OWN)] = best[latin, None] + FOREIGN
+        return np.concatenate([out, ~latin[:, None]], axis=1)  # the last column counts words in a script of their own
 
 
 class Scorer:
@@ -160,7 +171,7 @@ class Scorer:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.table = np.zeros((0, len(LANGUAGES)), np.float32)
+        self.table = np.zeros((0, len(LANGUAGES) + 1), np.float32)
 
     def rows(self, words: list[str]) -> np.ndarray:
         place = self.place
@@ -187,7 +198,7 @@ class Scorer:
                 owner.append(i)
                 count.append(len(ts))
                 words.extend(ts)
-        n = len(LANGUAGES)
+        n = len(LANGUAGES) + 1
         count_, owner_ = np.array(count, np.int64), np.array(owner, np.int64)
         per_word = self.table[at] if len(at := self.rows(words)) else np.zeros((0, n), np.float32)
         total = np.concatenate([np.zeros((1, n)), np.cumsum(per_word, axis=0, dtype=np.float64)])
@@ -196,33 +207,46 @@ class Scorer:
         # Units up to an end mark or a blank line make a sentence.
         stops = np.array([bool(_TERMINAL.search(u.rstrip())) or u.count("\n") > 1 for u in pieces], bool)
         whole = np.array([bool(_TERMINAL.search(u.rstrip())) for u in pieces], bool)
+        # So does an item of a list, with or without an end mark.
+        bullet = np.array([bool(_BULLET.match(u)) for u in pieces], bool)
+        following = np.concatenate([bullet[1:] | (owner_[1:] != owner_[:-1]), [True]]) if len(pieces) else bullet
+        stops |= following
+        whole |= following & bullet
         lengths = np.array([len(u) for u in pieces], np.int64)
         letters = np.array([len(_LETTER.findall(u)) for u in pieces], np.int64)
+        # A stretch of another language is given up to the text's main one unless it is sure (see _one).
         out = []
         bounds = np.searchsorted(owner_, np.arange(len(texts) + 1))
         for i in range(len(texts)):
             low, high = bounds[i], bounds[i + 1]
-            out.append(self._one(cost[low:high], count_[low:high], stops[low:high], whole[low:high], lengths[low:high], letters[low:high]))
+            out.append(self._one(per_word[ends[low] - count_[low] : ends[high - 1]] if high > low else per_word[:0], cost[low:high], count_[low:high], stops[low:high], whole[low:high], lengths[low:high], letters[low:high]))
         return out
 
     @staticmethod
-    def _one(cost, count, stops, whole, lengths, letters):
+    def _one(words, cost, count, stops, whole, lengths, letters):
         if not count.sum():
             return -1, 0.0, []
         first = np.flatnonzero(np.concatenate([[True], stops[:-1]]))
         c, k, chars = np.add.reduceat(cost, first), np.add.reduceat(count, first), np.add.reduceat(letters, first)
         last = np.concatenate([first[1:], [len(count)]]) - 1
         done = whole[last]
+        c[:, _OWN] += np.where(c[:, -1:] > 0, 0, 1e6)  # no such language without its script
+        c, words, cost = c[:, :-1], words[:, :-1], cost[:, :-1]
         best = c.argmin(axis=1)
         share = np.bincount(best[k > 0], weights=chars[k > 0], minlength=len(LANGUAGES))
         main = int(share.argmax())
         lang = np.full(len(first), main)
         sure = np.zeros(len(first), bool)
+        upto = np.cumsum(count)
         for s in np.flatnonzero((best != main) & (k > 0)):
             other = int(best[s])
             if c[s, main] - c[s, other] < MARGIN:
                 continue
             lines = slice(first[s], last[s] + 1)
+            end = upto[last[s]]
+            by_word = words[end - k[s] : end, main] - words[end - k[s] : end, other]
+            if (by_word > 1).sum() < 2 or (by_word > 1).sum() < 2 * (by_word < -1).sum():
+                continue
             gain, size = cost[lines, main] - cost[lines, other], count[lines]
             # A running header before a sentence is no part of it: every line, and the last in any case, must agree.
             if gain[size > 0][-1] > 0 and (gain[size >= 4] > 0).all():
@@ -245,16 +269,15 @@ def _confidence(bits: float) -> float:
 
 
 def train(labelled: list[tuple[str, str]]) -> ByteModels:
-    """Models from (language, text); a second round leaves out texts and sentences that the first one finds mislabelled."""
+    """Models from (language, text); a second round counts each stretch for the language that the first one finds it in."""
     counts: dict[str, Counter] = {}
     for lang, text in labelled:
         counts.setdefault(lang, Counter()).update(tokens(text))
     scorer = Scorer(ByteModels(counts))
     again: dict[str, Counter] = {}
-    for (lang, text), (_, _, stretches) in zip(labelled, scorer.texts([t for _, t in labelled])):
+    for (_, text), (_, _, stretches) in zip(labelled, scorer.texts([t for _, t in labelled])):
         for start, end, found, _, _ in stretches:
-            if LANGUAGES[found] == lang:
-                again.setdefault(lang, Counter()).update(tokens(text[start:end]))
+            again.setdefault(LANGUAGES[found], Counter()).update(tokens(text[start:end]))
     return ByteModels(again)
 
 
