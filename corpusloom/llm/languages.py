@@ -298,7 +298,7 @@ def training_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> li
 _FOUND = "key string, lang string, confidence double, segments array<struct<first:int,end:int,lang:string,confidence:double,whole:boolean>>"
 
 
-def _detecting(models):
+def _detecting(models, with_text):
     def run(batches):
         scorer = Scorer(models.value)
         kind = pa.struct([("first", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("whole", pa.bool_())])
@@ -308,20 +308,23 @@ def _detecting(models):
                 found = scorer.texts([t or "" for t in part.column(1).to_pylist()])
                 langs = [LANGUAGES[m] if m >= 0 else None for m, _, _ in found]
                 segments = [[{"first": a, "end": b, "lang": LANGUAGES[m], "confidence": c, "whole": w} for a, b, m, c, w in s] for _, _, s in found]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(langs, pa.string()), pa.array([c for _, c, _ in found]), pa.array(segments, pa.list_(kind))],
-                    ["key", "lang", "confidence", "segments"],
-                )
+                columns = [part.column(0), pa.array(langs, pa.string()), pa.array([c for _, c, _ in found]), pa.array(segments, pa.list_(kind))]
+                names = ["key", "lang", "confidence", "segments"]
+                if with_text:
+                    columns.insert(1, part.column(1))
+                    names.insert(1, "text")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def detect_languages(texts: DataFrame, models: ByteModels) -> DataFrame:
+def detect_languages(texts: DataFrame, models: ByteModels, text: bool = False) -> DataFrame:
     """(key string, text) -> key, lang, confidence, segments (first: from 0, end: exclusive, lang, confidence, whole: it holds a
     sentence with its end mark). lang and segments are null and empty for null texts and texts without words. Repeated keys are
-    kept; the whole text is read, whatever its length."""
+    kept; the whole text is read, whatever its length. text: the texts come along."""
     shared = texts.sparkSession.sparkContext.broadcast(models)
-    return texts.select(F.col("key").cast("string"), "text").mapInArrow(_detecting(shared), _FOUND)
+    kind = _FOUND.replace("lang string", "text string, lang string", 1) if text else _FOUND
+    return texts.select(F.col("key").cast("string"), "text").mapInArrow(_detecting(shared, text), kind)
 
 
 def languages_held(found: DataFrame) -> Column:
