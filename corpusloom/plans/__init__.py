@@ -1,9 +1,9 @@
 """Queries registered for the driver, with their SQL."""
 
-from corpusloom.plans import delivery
+from corpusloom.plans import delivery, search, text
 
-_MODULES = [delivery]
-FLAGSHIP = "p6_found"
+_MODULES = [delivery, text, search]
+FLAGSHIP = "hybrid_search"
 
 
 def all_queries() -> dict:
