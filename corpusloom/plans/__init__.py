@@ -1,8 +1,8 @@
 """Queries registered for the driver, with their SQL."""
 
-from corpusloom.plans import delivery, search, text
+from corpusloom.plans import chunking, delivery, search, text
 
-_MODULES = [delivery, text, search]
+_MODULES = [delivery, text, search, chunking]
 FLAGSHIP = "hybrid_search"
 
 
