@@ -1,8 +1,8 @@
 """Queries registered for the driver, with their SQL."""
 
-from corpusloom.plans import chunking, delivery, search, text
+from corpusloom.plans import chunking, delivery, dialog, search, text
 
-_MODULES = [delivery, text, search, chunking]
+_MODULES = [delivery, text, search, chunking, dialog]
 FLAGSHIP = "hybrid_search"
 
 
