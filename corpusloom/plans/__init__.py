@@ -1,8 +1,8 @@
 """Queries registered for the driver, with their SQL."""
 
-from corpusloom.plans import chunking, delivery, dialog, search, text
+from corpusloom.plans import chunking, collection, delivery, dialog, search, telemetry, text
 
-_MODULES = [delivery, text, search, chunking, dialog]
+_MODULES = [delivery, text, search, chunking, dialog, telemetry, collection]
 FLAGSHIP = "hybrid_search"
 
 
