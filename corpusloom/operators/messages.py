@@ -22,7 +22,8 @@ def strict_json(text: Column, schema: str, fields: list[str]) -> Column:
     """The struct of a JSON object, or null where it is malformed, holds other fields or goes on after the object."""
     keys = F.json_object_keys(text)
     known = F.size(F.array_except(keys, F.array(*[F.lit(f) for f in fields]))) == 0
-    whole = F.try_parse_json(text).isNotNull()
+    # As the only item of an array: nothing may follow the object.
+    whole = F.size(F.from_json(F.to_json(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))), "array<string>")) == 1
     return F.when(whole & keys.isNotNull() & known, F.from_json(text, schema))
 
 

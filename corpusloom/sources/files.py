@@ -96,7 +96,7 @@ def write_objects(files: DataFrame, bucket: str) -> DataFrame:
 
 
 def object_stat(spark: SparkSession, bucket: str) -> DataFrame:
-    """key, length, modified_at of the objects of a bucket."""
+    """key, length, modified_at of the objects of a bucket that hold anything; Spark passes over empty files."""
     o = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(bucket)
     at = F.regexp_replace("path", r"^file:/+", "/")
     return o.select(F.substring(at, len(os.path.abspath(bucket)) + 2, 4096).alias("key"), "length", F.col("modificationTime").alias("modified_at"))
