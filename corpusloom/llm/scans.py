@@ -19,7 +19,8 @@ from corpusloom.session import written
 #: (misread, right) character sequences that scanners confuse: fixed values.
 CONFUSIONS = (
     ("c", "e"), ("f", "t"), ("!", "i"), ("o", "a"), ("0", "o"), ("5", "s"), ("q", "g"), ("ii", "u"), ("1", "l"), ("cl", "d"), ("b", "h"),
-    ("rn", "m"), ("rm", "nn"), ("6", "b"), ("8", "b"), ("9", "g"), ("vv", "w"), ("m", "rn"), ("ii", "ü"), ("l", "i"), ("e", "é"), ("o", "ộ"),
+    ("rn", "m"), ("rm", "nn"), ("6", "b"), ("8", "b"), ("9", "g"), ("vv", "w"), ("m", "rn"), ("ii", "ü"), ("l", "i"), ("d", "cl"), ("6", "ó"),
+    ("a", "ä"), ("a", "á"), ("a", "à"), ("a", "ạ"), ("e", "é"), ("e", "è"), ("e", "ê"), ("o", "ó"), ("o", "ö"), ("o", "ô"), ("o", "ộ"), ("u", "ü"), ("u", "ú"), ("i", "í"),
 )
 BREAKS = "-­‐¬"
 #: Shares of the scanned texts in which a word must stand at page edges to be a fixed word of headers: with each of them lines are
@@ -126,9 +127,16 @@ class Furniture:
                 out.append(True)
             else:
                 ts = key_tokens(line)
-                out.append(_may_run(line, ts) and any(line_key(ts, fixed) in keys for fixed, keys in self.levels))
+                out.append(_may_run(line, ts) and any(self._recurs(ts, fixed, keys) for fixed, keys in self.levels))
         return out
 
+    @staticmethod
+    def _recurs(tokens: list[str], fixed: set, keys: set) -> bool:
+        """Whether the masked line is known, as it is or with one fixed word masked too (a name may be fixed by a long document)."""
+        if line_key(tokens, fixed) in keys:
+            return True
+        return any(t in fixed and line_key(tokens, fixed - {t}) in keys for t in set(tokens)) if len(tokens) > 2 else False
+
 
 def split_words(lines: list[str], furniture: list[bool]):
     """(line, next content line, left part, right part, sure) of words broken at line ends: a hyphen that only a line end brings
