@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.arrays import attach, binary_column, mix64, utf32
 from corpusloom.session import written
 
-#: Bins of a sketch, bins of a band. At a similarity of 0.78 a pair shares none of the 48 bands with a chance of 0.0008.
-BINS, BAND = 384, 8
+#: Bins of a sketch, bins of a band. At a similarity of 0.78 a pair shares none of the 64 bands with a chance of 0.0001.
+BINS, BAND = 512, 8
 BANDS = BINS // BAND
 #: Bins of which one byte is kept to weed candidates before their texts are fetched.
 SIGNATURE = 64
