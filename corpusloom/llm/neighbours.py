@@ -189,14 +189,14 @@ def similar_vectors(
     """
     spark = rows.sparkSession
     base = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").alias("v")).filter(F.col("id").isNotNull() & (F.size("v") == dim))
-    base = base.filter(~F.exists("v", lambda x: x.isNull()) & F.exists("v", lambda x: x != 0))
+    base = base.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
     # A vector's identity: rows with equal vectors share it.
     base = base.withColumn("vec_id", F.xxhash64(F.col("v").cast("array<double>")))
     n = base.count()
     sample = base.select("vec_id", "v").filter(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // (SAMPLE // 2)))) == 0).limit(SAMPLE)
     at = sample.toArrow()
     _, unit = unit_rows(at.column("v"), dim)
-    made = Curves(dim, curves, axes)
+    made = Curves(dim, curves, min(axes, dim))
     overlap = 16
     ranges = max(1, round(n / (overlap * 2 * window)))
     inner = np.linspace(0, 1, ranges * overlap + 1)[1:-1]

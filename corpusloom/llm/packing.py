@@ -87,7 +87,7 @@ def fit_repeats(groups: list[np.ndarray], histogram: np.ndarray, rounds: int = 3
     def use(xs):
         out = np.zeros(n)
         for g, x in zip(groups, xs):
-            for k in range(g.shape[1]):
+            for k in range(g.shape[1] if len(g) else 0):
                 out += np.bincount(g[:, k], weights=x, minlength=n)
         return out
 
