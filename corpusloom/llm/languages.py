@@ -49,6 +49,7 @@ _CLOSING = r"[\"'”’»«)\]）】」』]*"
 _UNIT = re.compile(rf"(?:[^.!?。！？।\n]|[.!?]+(?!{_CLOSING}(?:\s+[^\sa-z0-9]|\s*\Z|[{_CJK}ऀ-ॿ])))*(?:[。！？।]+{_CLOSING}|[.!?]+{_CLOSING}|\n\s*|\Z)")
 _TERMINAL = re.compile(rf"[.!?。！？।]{_CLOSING}\Z")
 _BULLET = re.compile(r"\s*(?:[-*•–]|\d+[.)])(?:\s|\Z)")
+_IMAGE = re.compile(r"!\[[^\]\n]*\]\([^)\n]*\)")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -67,8 +68,10 @@ def units(text: str) -> list[str]:
 
 
 def tokens(piece: str) -> list[str]:
-    """Words; of scripts without spaces each character behind the one before it ('\\0' at the beginning)."""
+    """Words; of scripts without spaces each character behind the one before it ('\\0' at the beginning). References to images hold none."""
     out = []
+    if "![" in piece:
+        piece = _IMAGE.sub(" ", piece)
     for t in _TOKEN.findall(piece.lower()):
         if _IS_CJK.match(t):
             out.extend(map("".join, zip("\0" + t, t)))
@@ -240,7 +243,8 @@ class Scorer:
         upto = np.cumsum(count)
         for s in np.flatnonzero((best != main) & (k > 0)):
             other = int(best[s])
-            if c[s, main] - c[s, other] < MARGIN:
+            # Headings and torn ends, which are no whole sentences, need more.
+            if c[s, main] - c[s, other] < (MARGIN if done[s] else 4 * MARGIN):
                 continue
             lines = slice(first[s], last[s] + 1)
             end = upto[last[s]]
