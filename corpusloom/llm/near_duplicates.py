@@ -103,9 +103,12 @@ def _text_ids(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mix64((total[starts[1:]] - total[starts[:-1]]) ^ np.diff(starts).astype(np.uint64)) if n else np.zeros(0, np.uint64)
 
 
-def _sketching(width: int, parts: int):
-    """Batches of (text) -> one row per distinct text of the batch: text_id, signature, and for each shuffle partition the
-    bands that go there, packed as pairs of words (band key and size, text_id)."""
+#: Bytes of a sketch's record: signature, size code, band keys.
+_KEYS_AT = SIGNATURE + 2
+
+
+def _sketching(width: int):
+    """Batches of (text) -> text_id and record (signature, size code, six bytes of each band's key) of each distinct text of a task."""
 
     def run(batches):
         seen: set[int] = set()
@@ -116,7 +119,6 @@ def _sketching(width: int, parts: int):
             first = np.array(sorted(i for i in first if int(ids[i]) not in seen and starts[i + 1] > starts[i]), dtype=np.int64)
             if len(seen) < 1_000_000:  # only spares work: equal texts meet again by their id
                 seen.update(ids[first].tolist())
-            packs: dict[int, list[np.ndarray]] = {}
             for low in range(0, len(first), 500):
                 some = first[low : low + 500]
                 c = np.concatenate([codes[starts[i] : starts[i + 1]] for i in some])
@@ -124,30 +126,39 @@ def _sketching(width: int, parts: int):
                 h, text = shingles(c, s, width)
                 n = len(some)
                 sketch = sketches(h, text, n)
-                size = np.bincount(text, minlength=n)
-                code = np.minimum(65535, np.floor(np.log2(size) * 1024)).astype(np.uint64)
+                code = np.minimum(65535, np.floor(np.log2(np.bincount(text, minlength=n)) * 1024)).astype(np.uint16)
                 key = np.zeros((n, BANDS), np.uint64)
                 for k in range(BAND):
                     key = mix64(key ^ sketch[:, k::BAND]) + np.uint64(k + 1)
                 key = mix64(key + np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
-                where = (key >> np.uint64(20)) % np.uint64(parts)
-                packed = np.empty((n, BANDS, 2), np.uint64)
-                packed[:, :, 0] = (key & np.uint64(0xFFFFFFFFFFFF0000)) | code[:, None]
-                packed[:, :, 1] = ids[some][:, None]
-                flat, where = packed.reshape(-1, 2), where.ravel()
-                order = np.argsort(where, kind="stable")
-                cuts = np.flatnonzero(np.diff(where[order])) + 1
-                for block in np.split(order, cuts):
-                    packs.setdefault(int(where[block[0]]), []).append(flat[block])
-                signature = (sketch[:, :: BINS // SIGNATURE][:, :SIGNATURE] & np.uint64(255)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([-1] * n, pa.int32()), pa.array(ids[some].view(np.int64)), binary_column(signature)], ["part", "text_id", "data"]
-                )
-            if packs:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(packs), pa.int32()), pa.array([0] * len(packs), pa.int64()), pa.array([np.concatenate(v).tobytes() for v in packs.values()], pa.binary())],
-                    ["part", "text_id", "data"],
-                )
+                record = np.empty((n, _KEYS_AT + 6 * BANDS), np.uint8)
+                record[:, :SIGNATURE] = sketch[:, :: BINS // SIGNATURE][:, :SIGNATURE] & np.uint64(255)
+                record[:, SIGNATURE:_KEYS_AT] = code.view(np.uint8).reshape(n, 2)
+                record[:, _KEYS_AT:] = key.view(np.uint8).reshape(n, BANDS, 8)[:, :, 2:].reshape(n, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some].view(np.int64)), binary_column(record)], ["text_id", "record"])
+
+    return run
+
+
+def _spreading(parts: int):
+    """(text_id, record) -> for each shuffle partition the bands that go there, packed as pairs of words (key and size, text_id)."""
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            record = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, -1)
+            key = np.zeros((n, BANDS, 8), np.uint8)
+            key[:, :, 2:] = record[:, _KEYS_AT:].reshape(n, BANDS, 6)
+            key = key.view(np.uint64).reshape(n, BANDS)
+            packed = np.empty((n, BANDS, 2), np.uint64)
+            packed[:, :, 0] = key | np.ascontiguousarray(record[:, SIGNATURE:_KEYS_AT]).view(np.uint16).astype(np.uint64)
+            packed[:, :, 1] = np.asarray(batch.column(0)).view(np.uint64)[:, None]
+            flat, where = packed.reshape(-1, 2), ((key >> np.uint64(20)) % np.uint64(parts)).ravel()
+            order = np.argsort(where, kind="stable")
+            blocks = np.split(order, np.flatnonzero(np.diff(where[order])) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array([int(where[b[0]]) for b in blocks], pa.int32()), pa.array([flat[b].tobytes() for b in blocks], pa.binary())], ["part", "data"])
 
     return run
 
@@ -253,11 +264,10 @@ class SimilarTexts:
             F.col("id").isNotNull() & (F.length("text") >= least_chars)
         )
         self.width = width
-        kind = "part int, text_id long, data binary"
-        sketched = written(self.rows.select("text").mapInArrow(_sketching(width, parts), kind), "sketches")
-        bands = sketched.filter("part >= 0").select("part", "data")
+        sketched = written(self.rows.select("text").mapInArrow(_sketching(width), "text_id long, record binary"), "sketches")
+        bands = sketched.mapInArrow(_spreading(parts), "part int, data binary")
         candidates = bands.groupBy("part").applyInArrow(_bucketing(threshold), "a long, b long").distinct()
-        signatures = sketched.filter("part < 0").groupBy("text_id").agg(F.first("data").alias("signature"))
+        signatures = sketched.groupBy("text_id").agg(F.first(F.substring("record", 1, SIGNATURE)).alias("signature"))
         pairs = candidates
         for side in ("a", "b"):
             pairs = pairs.join(signatures.select(F.col("text_id").alias(side), F.col("signature").alias(f"signature_{side}")), side)
