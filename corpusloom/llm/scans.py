@@ -9,6 +9,7 @@ know is misread if undoing a usual confusion of characters gives one that they k
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +43,7 @@ _HEAD = re.compile(r"[^\W_]+(?:[!'’-][^\W_]+)*")
 _FOLD = str.maketrans("cf!o05q16b89", "etiaaSglhhhg")
 
 
+@lru_cache(maxsize=200_000)
 def folded(word: str) -> str:
     """A form that a word shares with its misreadings; numbers become 0."""
     if not any(c.isalpha() for c in word):
@@ -56,12 +58,18 @@ def key_tokens(line: str) -> list[str]:
 
 
 def is_page_number(line: str) -> bool:
-    return bool(line.strip()) and bool(_PAGE.match(line))
+    bare = line.strip()
+    return 0 < len(bare) <= 24 and (bare[0].isdigit() or bare[0] in "-–—[(pPiIvVxXlL") and bool(_PAGE.match(line))
+
+
+def _too_much(line: str) -> bool:
+    """Whether a line is too long for a header or footer, or ends as sentences and broken words do."""
+    return len(line) > 80 or line.count(" ") > 14 or line.rstrip()[-1:] in ".!?。！？।:;,，、" + BREAKS
 
 
 def _may_run(line: str, tokens: list[str]) -> bool:
     """Whether a line can be a header or footer at all."""
-    return 0 < len(tokens) <= 9 and len(line) <= 80 and not _ROW.match(line) and not _HEADING.match(line) and not (_TERMINAL.search(line) or line.rstrip()[-1:] in BREAKS)
+    return 0 < len(tokens) <= 9 and not _ROW.match(line) and not _HEADING.match(line) and not (_TERMINAL.search(line) or line.rstrip()[-1:] in BREAKS)
 
 
 def edges(lines: list[str]) -> list[bool]:
@@ -83,7 +91,7 @@ def _edge_rows(batches):
             lines = t.split("\n")
             near = edges(lines)
             for k, line in enumerate(lines):
-                if line.strip() and not is_page_number(line) and _may_run(line, ts := key_tokens(line)):
+                if line.strip() and not _too_much(line) and not is_page_number(line) and _may_run(line, ts := key_tokens(line)):
                     at.append(i)
                     tokens.append(ts)
                     edge.append(near[k])
@@ -125,8 +133,14 @@ class Furniture:
                 out.append(False)
             elif is_page_number(line):
                 out.append(True)
+            elif _too_much(line):
+                out.append(False)
             else:
                 ts = key_tokens(line)
+                # More than three words that no level has fixed can't be masked away.
+                if sum(t[0].isalpha() and t not in self.levels[0][0] for t in ts) > 2:
+                    out.append(False)
+                    continue
                 out.append(_may_run(line, ts) and any(self._recurs(ts, fixed, keys) for fixed, keys in self.levels))
         return out
 
@@ -179,9 +193,11 @@ def _line_rows(furniture: Furniture):
                     elif line.strip():
                         found = list(_TOKEN.finditer(line))
                         inner = []
-                        for m in found:
-                            first, last = not line[: m.start()].strip(), not line[m.end() :].strip(" " + BREAKS)
-                            if (first and k in heads) or (last and k in tails) or ((first or last) and _CJK.search(line)):
+                        bare = bool(_CJK.search(line))
+                        for j, m in enumerate(found):
+                            first = j == 0 and not line[: m.start()].strip()
+                            last = j == len(found) - 1 and not line[m.end() :].strip(" " + BREAKS)
+                            if (first and k in heads) or (last and k in tails) or ((first or last) and bare):
                                 continue  # perhaps only a part of a word
                             w = m.group().lower()
                             inner.append(w)
@@ -315,8 +331,8 @@ def repaired(text: str, decisions: list[tuple[int, str, str | None, str | None]]
             now += line
         else:
             now += ("" if _CJK.match(now[-1]) or _CJK.match(line[0]) else " ") + line
-        glue = k in joins
-        if glue:
+        glue = k in joins or (now[-1:] == "-" and now[-2:-1].isalpha())
+        if k in joins:
             now = now[:-1]
         if own:
             paragraphs.append(now)
