@@ -294,6 +294,18 @@ class SimilarTexts:
         out = self.rows.mapInArrow(_identifying(), f"id {self.id_type}, text_id long")
         return out.filter(F.col("text_id") != int(_text_ids(np.zeros(0, np.uint32), np.array([0, 0])).view(np.int64)[0]))
 
+    def groups(self) -> DataFrame:
+        """id, group_id, n_links of every row that has a place: the group's least id, and how many other texts the row's text is linked
+        to. Groups are the connected components of the links; rows with equal texts share theirs."""
+        members = written(self.members(), "members")
+        labels = components(self.links.select("a", "b"))
+        ends = self.links.select(F.explode(F.array("a", "b")).alias("text_id"))
+        degrees = ends.groupBy("text_id").agg(F.count("*").alias("n_links"))
+        rows = members.join(labels, "text_id", "left").join(degrees, "text_id", "left")
+        rows = rows.select("id", F.coalesce("label", "text_id").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        names = rows.groupBy("label").agg(F.min("id").alias("group_id"))
+        return rows.join(names, "label").select("id", "group_id", "n_links")
+
     def pairs(self) -> DataFrame:
         """id_a < id_b of all rows with similar or equal texts. Grows with the square of a group of copies."""
         members = written(self.members(), "members")
@@ -304,3 +316,21 @@ class SimilarTexts:
         equal = again.select(F.col("id").alias("ia"), "text_id").join(again.select(F.col("id").alias("ib"), "text_id"), "text_id").filter("ia < ib").select("ia", "ib")
         both = linked.unionByName(equal).filter("ia <> ib")
         return both.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """text_id, label of every end of the links (a, b): the least text_id of its connected component.
+
+    Every round takes the least label among a node and its neighbours, then jumps to that label's own label, so long chains shrink
+    by half or better; each round is a written table, and rounds end when no label changes.
+    """
+    both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
+    labels = written(both.groupBy(F.col("a").alias("text_id")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("text_id").alias("b"), "label"), "b").groupBy(F.col("a").alias("text_id")).agg(F.min("label").alias("near"))
+        step = labels.join(near, "text_id").select("text_id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("text_id").alias("label"), F.col("label").alias("far"))
+        new = written(step.join(jump, "label", "left").select("text_id", "old", F.least("label", "far").alias("label")), "labels")
+        if not new.filter("old <> label").limit(1).count():
+            return new.select("text_id", "label")
+        labels = new.select("text_id", "label")

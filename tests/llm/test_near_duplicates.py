@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusloom.llm.near_duplicates import BINS, SimilarTexts, bucket_pairs, normalised, shingles, sketches
+from corpusloom.llm.near_duplicates import BINS, SimilarTexts, bucket_pairs, components, normalised, shingles, sketches
 
 
 def plain(text):
@@ -77,3 +77,31 @@ def test_long_and_empty(spark):
     assert SimilarTexts(df.limit(0), "id", "text", 0.7).pairs().count() == 0
     with pytest.raises(ValueError):
         SimilarTexts(df, "id", "text", 0.2)
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    chain = [(i, i + 1) for i in range(40)]
+    loose = [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(40)]
+    links = chain + loose
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    got = {r["text_id"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for a, b in links if a != b for x in (a, b)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_groups(spark):
+    base = "the quick brown fox jumps over the lazy dog and runs away from it "
+    rows = [("a", base * 2 + "one"), ("b", base * 2 + "two"), ("c", base * 2 + "one"), ("d", "something else entirely, long enough to have a place here"), ("e", None)]
+    got = {r["id"]: (r["group_id"], r["n_links"]) for r in SimilarTexts(spark.createDataFrame(rows, "id string, text string"), "id", "text", 0.7).groups().collect()}
+    assert got == {"a": ("a", 1), "b": ("a", 1), "c": ("a", 1), "d": ("d", 0)}
