@@ -100,3 +100,44 @@ def object_stat(spark: SparkSession, bucket: str) -> DataFrame:
     o = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(bucket)
     at = F.regexp_replace("path", r"^file:/+", "/")
     return o.select(F.substring(at, len(os.path.abspath(bucket)) + 2, 4096).alias("key"), "length", F.col("modificationTime").alias("modified_at"))
+
+
+def download(url: str, uuid: str, folder: str) -> str:
+    """Copies a local file (file: URL or path) to <folder>/<uuid>_<name>, by way of a file beside it, and gives the path."""
+    import shutil
+
+    source = local_path(url)
+    os.makedirs(folder, exist_ok=True)
+    at = os.path.join(folder, f"{uuid}_{os.path.basename(source) or 'downloaded_file'}")
+    shutil.copyfile(source, f"{at}.part")
+    os.replace(f"{at}.part", at)
+    return at
+
+
+def read_objects(spark: SparkSession, bucket: str, keys: DataFrame | None = None) -> DataFrame:
+    """key, content of a bucket's objects; with keys (column key) only of those."""
+    o = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(bucket)
+    at = F.regexp_replace("path", r"^file:/+", "/")
+    rows = o.select(F.substring(at, len(os.path.abspath(bucket)) + 2, 4096).alias("key"), "content")
+    return rows if keys is None else rows.join(keys.select("key").distinct(), "key", "left_semi")
+
+
+def delete_object(bucket: str, key: str) -> bool:
+    """Whether there was such an object; it is gone then. A key never leads out of its bucket."""
+    root = os.path.abspath(bucket)
+    at = os.path.abspath(os.path.join(root, key))
+    if not at.startswith(root + os.sep):
+        raise ValueError(f"{key!r} is no key")
+    if not os.path.isfile(at):
+        return False
+    os.remove(at)
+    return True
+
+
+def upload_artifacts(spark: SparkSession, artifacts: DataFrame, folder: str, bucket: str) -> DataFrame:
+    """One row, n_stored: the artifacts (path) that exist, stored below the folder's name in a bucket."""
+    wanted = artifacts.select(F.regexp_replace(F.trim("path"), r"^file:/+", "/").alias("at")).filter("at <> ''").distinct()
+    root = os.path.abspath(folder)
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_replace("path", r"^file:/+", "/").alias("at"), "content")
+    files = there.join(wanted, "at", "left_semi").select(F.lit(root).alias("folder"), F.concat(F.lit("file://"), "at").alias("url"), "content")
+    return write_objects(files, bucket).agg(F.count("*").alias("n_stored"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
 
 from corpusloom.functions.text import blank_to_null
 from corpusloom.operators.messages import strict_json
@@ -131,3 +131,55 @@ def once_by_offset(batch: DataFrame) -> DataFrame:
     """A batch without repeats of the same place in the same topic."""
     return batch.dropDuplicates(["topic", "partition", "offset"])
 
+
+
+class Progress(StreamingQueryListener):
+    """Counts what the session's streams do: batches, rows, seconds, rows behind and failures, by query name."""
+
+    def __init__(self):
+        self.counts: dict[str, dict[str, float]] = {}
+
+    def _of(self, name: str | None) -> dict[str, float]:
+        return self.counts.setdefault(name or "", {"batches": 0, "rows": 0, "seconds": 0.0, "failures": 0})
+
+    def onQueryStarted(self, event) -> None:
+        self._of(event.name)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        c = self._of(p.name)
+        c["batches"] += 1
+        c["rows"] += p.numInputRows
+        c["seconds"] += p.batchDuration / 1000
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.exception:
+            self._of("").__setitem__("failures", self._of("")["failures"] + 1)
+
+
+def upload_batches(requests: DataFrame, bucket: str, checkpoint: str, results: Callable[[DataFrame], None]) -> None:
+    """Upload requests (folder, url) of a stream: each batch's local files are stored and its results (key, length) handed on. A batch
+    that comes again stores the same objects again."""
+    from corpusloom.sources.files import local_path, write_objects
+
+    def handle(batch: DataFrame, _: int) -> None:
+        path = F.udf(lambda u: local_path(u), "string")
+        files = batch.sparkSession.read.format("binaryFile")
+        rows = batch.select("folder", "url").distinct().withColumn("at", path("url"))
+        paths = [r["at"] for r in rows.select("at").distinct().collect()]
+        if paths:
+            content = files.load(paths).select(F.regexp_replace("path", r"^file:/+", "/").alias("at"), "content")
+            results(write_objects(rows.join(content, "at").select("folder", "url", "content"), bucket))
+
+    run_available(requests, handle, checkpoint)
+
+
+def ingest_batches(documents: DataFrame, collections, name: str, checkpoint: str, results: Callable[[DataFrame], None]) -> None:
+    """Documents (doc_id, text, lang, source_path) of a stream, ingested batch by batch; ids come from the documents, so a repeated
+    batch writes the same points."""
+    from corpusloom.operators.ingest import ingest
+
+    run_available(documents, lambda batch, _: results(ingest(batch, collections, name)), checkpoint)

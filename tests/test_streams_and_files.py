@@ -1,11 +1,15 @@
 import datetime
 import json
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.models import hash_embedding
+from corpusloom import config
 from corpusloom.operators import messages as M
 from corpusloom.operators import telemetry as T
+from corpusloom.operators.collection import Collections
 from corpusloom.operators.delivery import REPLY_ORDER, MessageStore, message_identifier
 from corpusloom.operators.dialog import answer_verdict, appended_turns, last_assistant, merged_context, selected_context, skips_retrieval
 from corpusloom.sources import files as S
@@ -118,3 +122,65 @@ def test_files(spark, tmp_path):
     assert sorted((r["key"], r["length"]) for r in stored.collect()) == [("u1/f.pdf", 3), ("u2/g.bin", 0)]
     assert sorted(r["key"] for r in S.object_stat(spark, str(tmp_path / "bucket")).collect()) == ["u1/f.pdf"]
     assert S.local_path("file:///a/b") == "/a/b" and S.local_path(" c ") == "c"
+
+
+def test_objects_and_downloads(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "f.md").write_text("text of a file")
+    (tmp_path / "a" / "i.png").write_bytes(b"12")
+    at = S.download(f"file://{tmp_path}/a/f.md", "u1", str(tmp_path / "down"))
+    assert at.endswith("/down/u1_f.md") and open(at).read() == "text of a file"
+    with pytest.raises(ValueError):
+        S.download("https://x.y/z", "u", str(tmp_path))
+    found = S.list_artifacts(spark, str(tmp_path / "a")).select("path")
+    more = found.unionByName(spark.createDataFrame([(" ",), ("/no/such.md",)], "path string"))
+    assert S.upload_artifacts(spark, more, str(tmp_path / "a"), str(tmp_path / "b")).first()["n_stored"] == 2
+    keys = spark.createDataFrame([("a/f.md",), ("none",)], "key string")
+    assert [(r["key"], bytes(r["content"])) for r in S.read_objects(spark, str(tmp_path / "b"), keys).collect()] == [("a/f.md", b"text of a file")]
+    assert S.delete_object(str(tmp_path / "b"), "a/f.md") and not S.delete_object(str(tmp_path / "b"), "a/f.md")
+    with pytest.raises(ValueError):
+        S.delete_object(str(tmp_path / "b"), "../a/f.md")
+
+
+def test_upload_and_ingest_streams(spark, tmp_path):
+    (tmp_path / "x.bin").write_bytes(b"123")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text(json.dumps({"folder": "u9", "url": f"file://{tmp_path}/x.bin"}))
+    stored = []
+    W.upload_batches(W.file_stream(spark, str(tmp_path / "in"), "folder string, url string"), str(tmp_path / "bucket"), str(tmp_path / "cp1"), lambda r: stored.extend(map(tuple, r.collect())))
+    assert stored == [("u9/x.bin", 3)]
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "0.json").write_text(json.dumps({"doc_id": "d", "text": "One two three four five six seven eight nine.", "lang": "en", "source_path": "p"}))
+    done, listener = [], W.Progress()
+    spark.streams.addListener(listener)
+    stream = W.file_stream(spark, str(tmp_path / "docs"), "doc_id string, text string, lang string, source_path string")
+    W.ingest_batches(stream, Collections(spark, str(tmp_path / "c")), "points", str(tmp_path / "cp2"), lambda r: done.extend(map(tuple, r.collect())))
+    spark.streams.removeListener(listener)
+    assert done == [("d", 1, True)]
+
+
+def test_settings(tmp_path):
+    env = {"A": " ", "B": "x", "N": "5"}
+    assert config.first_set("A", "B", env=env) == "x" and config.first_set("A", env=env, default="d") == "d"
+    (tmp_path / "s.json").write_text('{"n": ${N}, "b": "$B-${NONE}"}')
+    assert config.load(str(tmp_path / "s.json"), env) == {"n": 5, "b": "x-"}
+    assert [config.bucket({"up": "u ", "e": ""}, n, " d ") for n in ("UP", "e", "other", " ", "default")] == ["u", "d", "d", "d", "d"]
+
+
+def test_history_state(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rows = [{"session_id": s, "role": "user", "text": f"{s}{i}", "offset": i, "timestamp": "2025-01-01T00:00:00Z"} for s in "ab" for i in range(2)]
+    (tmp_path / "in" / "0.json").write_text("\n".join(map(json.dumps, rows)))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = W.file_stream(spark, str(tmp_path / "in"), "session_id string, role string, text string, offset long, timestamp timestamp")
+    q = W.history_stream(stream).writeStream.format("memory").queryName("history").outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        # A query with state that expires never counts as idle, so it is asked now and then.
+        for _ in range(60):
+            if spark.table("history").count() == 4:
+                break
+            time.sleep(1)
+        assert sorted((r["session_id"], r["turn"], r["text"]) for r in spark.table("history").collect()) == [("a", 1, "a0"), ("a", 2, "a1"), ("b", 1, "b0"), ("b", 2, "b1")]
+    finally:
+        q.stop()
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
