@@ -18,6 +18,7 @@ from corpusloom.functions import vectors as V
 from corpusloom.functions.models import hash_embedding
 from corpusloom.functions.text import IMAGE_REF, SENTENCE
 from corpusloom.operators.prefix import previous, running_sum
+from corpusloom.session import spread
 
 _WS = re.compile(r"[\t-\r \x85\xa0  -     　]+")
 _SENTENCE = re.compile(SENTENCE)
@@ -247,7 +248,7 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     schema = f"doc_id {kind}, chunk_index int, text string, image_paths array<string>, vector array<float>, n_tokens int"
-    return rows.mapInArrow(_chunking((config or ChunkConfig()).effective(), embed or hash_embedding), schema)
+    return spread(rows).mapInArrow(_chunking((config or ChunkConfig()).effective(), embed or hash_embedding), schema)
 
 
 def _units(c: ChunkConfig):
@@ -271,7 +272,7 @@ def _units(c: ChunkConfig):
 
 def stable_unit_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: ChunkConfig | None = None) -> DataFrame:
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(_units((config or ChunkConfig()).effective()), f"doc_id {dict(rows.dtypes)['doc_id']}, line_no int, unit_no int, unit string")
+    return spread(rows).mapInArrow(_units((config or ChunkConfig()).effective()), f"doc_id {dict(rows.dtypes)['doc_id']}, line_no int, unit_no int, unit string")
 
 
 def _counting(c: ChunkConfig):
@@ -286,7 +287,7 @@ def _counting(c: ChunkConfig):
 def unit_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: ChunkConfig | None = None) -> DataFrame:
     """Per document: raw, kept, dropped (header, numeric, noise) and merged sentences, over its lines."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(_counting((config or ChunkConfig()).effective()), f"doc_id {dict(rows.dtypes)['doc_id']}, " + ", ".join(f"{k} long" for k in COUNTS))
+    return spread(rows).mapInArrow(_counting((config or ChunkConfig()).effective()), f"doc_id {dict(rows.dtypes)['doc_id']}, " + ", ".join(f"{k} long" for k in COUNTS))
 
 
 def semantic_groups(rows: DataFrame, keys: list[str], order: str, vector: str, threshold: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import blank_to_null
+from corpusloom.session import spread
 
 K1, B = 1.2, 0.75
 
@@ -39,7 +40,7 @@ def bm25_scores(docs: DataFrame, query: str, id_col: str = "id", text_col: str =
     """
     asked = query_terms(query)
     ts = terms(F.col(f"`{text_col}`"))
-    counted = docs.filter(F.col(f"`{text_col}`").isNotNull()).select(
+    counted = spread(docs).filter(F.col(f"`{text_col}`").isNotNull()).select(
         F.col(f"`{id_col}`").alias("id"), ts.alias("ts"), (allowed if allowed is not None else F.lit(True)).alias("allowed")
     )
     tf = [F.size(F.filter("ts", _is(w))).alias(f"tf{i}") for i, w in enumerate(asked)]

@@ -83,3 +83,13 @@ def ship(spark: SparkSession) -> None:
     made = shutil.make_archive(os.path.join(own, "corpusloom_package"), "zip", os.path.dirname(here), os.path.basename(here))
     spark.sparkContext.addPyFile(made)
     _SHIPPED.add(spark.sparkContext.applicationId)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, if a plain scan of few files gives fewer; large inputs, and plans that shuffle or
+    join, stay as they are. For work that takes far longer than moving its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if "AdaptiveSparkPlan" in plan.executedPlan().toString() or df.isStreaming:
+        return df
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
