@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.arrays import mix64
+from corpusloom.session import spread
 
 LANGUAGES = ("en", "vi", "de", "fr", "es", "zh", "ja", "hi")
 #: Three-letter codes (ISO 639-2, both forms) and English names of the languages: fixed values.
@@ -328,7 +329,7 @@ def detect_languages(texts: DataFrame, models: ByteModels, text: bool = False) -
     kept; the whole text is read, whatever its length. text: the texts come along."""
     shared = texts.sparkSession.sparkContext.broadcast(models)
     kind = _FOUND.replace("lang string", "text string, lang string", 1) if text else _FOUND
-    return texts.select(F.col("key").cast("string"), "text").mapInArrow(_detecting(shared, text), kind)
+    return spread(texts.select(F.col("key").cast("string"), "text")).mapInArrow(_detecting(shared, text), kind)
 
 
 def languages_held(found: DataFrame) -> Column:

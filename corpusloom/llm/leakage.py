@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import spread
+
 #: Item windows up to which the index is sent to all executors (some 300 bytes each); beyond, windows are joined by a shuffle.
 MOST_WINDOWS = 1_000_000
 WORD = re.compile(r"[^\W_]+")
@@ -91,7 +93,7 @@ def leaked_items(
             index.setdefault(window[place], []).append((place, list(window), sorted(owners)))
         texts = documents.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
         texts = texts.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
-        hits = texts.mapInArrow(_probing(index, width), "id long, item long, at int")
+        hits = spread(texts).mapInArrow(_probing(index, width), "id long, item long, at int")
     else:
         # Both sides meet on a hash of the window and are compared on its words; only windows of item words are sent.
         mine = _windows(_with_words(documents, doc_id, text_col), width).select(F.col("id"), "window", F.xxhash64("window").alias("h"))

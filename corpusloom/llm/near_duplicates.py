@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.arrays import attach, binary_column, mix64, utf32
-from corpusloom.session import written
+from corpusloom.session import spread, written
 
 #: Bins of a sketch, bins of a band. At a similarity of 0.78 a pair shares none of the 64 bands with a chance of 0.0001.
 BINS, BAND = 512, 8
@@ -264,7 +264,7 @@ class SimilarTexts:
             F.col("id").isNotNull() & (F.length("text") >= least_chars)
         )
         self.width = width
-        sketched = written(self.rows.select("text").mapInArrow(_sketching(width), "text_id long, record binary"), "sketches")
+        sketched = written(spread(self.rows.select("text")).mapInArrow(_sketching(width), "text_id long, record binary"), "sketches")
         bands = sketched.mapInArrow(_spreading(parts), "part int, data binary")
         candidates = bands.groupBy("part").applyInArrow(_bucketing(threshold), "a long, b long").distinct()
         signatures = sketched.groupBy("text_id").agg(F.first(F.substring("record", 1, SIGNATURE)).alias("signature"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.session import written
+from corpusloom.session import spread, written
 
 TOKENIZERS = "/opt/tokenizers"
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -196,7 +196,7 @@ def pack_texts(texts: DataFrame, id_col: str, text_col: str, capacity: int = CAP
         raise ValueError("a sequence holds one token at least")
     rows = texts.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).filter(F.col("text").isNotNull())
     kind = dict(rows.dtypes)["id"]
-    sized = rows.mapInArrow(_sizing(folder, ranks, capacity), f"id {kind}, part_no int, first_token long, n_tokens int")
+    sized = spread(rows).mapInArrow(_sizing(folder, ranks, capacity), f"id {kind}, part_no int, first_token long, n_tokens int")
     sized = written(sized.withColumn("salt", F.pmod(F.xxhash64("id", "part_no"), F.lit(SALTS)).cast("int")), "sizes")
     counts = sized.groupBy("n_tokens", "salt").agg(F.count("*").alias("n")).collect()
     histogram: dict[int, int] = {}

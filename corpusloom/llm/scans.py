@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import written
+from corpusloom.session import spread, written
 
 #: (misread, right) character sequences that scanners confuse: fixed values.
 CONFUSIONS = (
@@ -259,7 +259,7 @@ def vocabulary(texts: DataFrame) -> DataFrame:
 def scan_decisions(scanned: DataFrame, clean: DataFrame) -> DataFrame:
     """(id, field_name, text) of scanned and (text) of clean texts -> id, field_name, line_no, kind (furniture, hyphen, misread), word,
     right (the word joined or corrected, else null). A line may have several rows; null and empty texts have none."""
-    scanned = scanned.filter(F.col("text").isNotNull())
+    scanned = spread(scanned.filter(F.col("text").isNotNull()).select("id", "field_name", "text"))
     furniture = Furniture(scanned)
     lines = written(scanned.select("id", "field_name", "text").mapInArrow(_line_rows(furniture), "id string, field_name string, line_no int, kind string, words array<string>"), "lines")
     vocab = written(vocabulary(clean), "vocabulary")

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import spread
+
 #: Abbreviations that a sentence seldom ends with (lower case, without the last full stop): fixed values.
 ABBREVIATIONS = frozenset(
     "approx cf sec fig figs no nos vs dept max min e.g i.e u.s u.k a.m p.m mr mrs ms dr prof st inc ltd eq ch ref refs vol pp ed est "
@@ -44,7 +46,8 @@ class Lexicon:
 def collection_lexicon(texts: DataFrame, text_col: str = "text") -> Lexicon:
     """Counts, over all texts, how often words stand before a full stop and how often that is the end of a paragraph; and which
     words without a capital begin paragraphs. Words seldom seen are left to the fixed list."""
-    t = F.col(f"`{text_col}`")
+    texts = spread(texts.select(F.col(f"`{text_col}`").alias("text")))
+    t = F.col("text")
     stop = r"(?U)([\p{L}.\-]{1,12})\.(?![\p{Pe}\p{Pf}\p{Pi}\"'.…])"
     words = texts.select(F.explode(F.regexp_extract_all(t, F.lit(stop), F.lit(1))).alias("word")).select(F.lower("word").alias("word"))
     ends = texts.select(F.explode(F.regexp_extract_all(t, F.lit(stop + r"(?=\s*\z|\s*\n\s*\n)"), F.lit(1))).alias("word")).select(F.lower("word").alias("word"))
@@ -265,4 +268,4 @@ def sentence_rows(texts: DataFrame, id_col: str, text_col: str, lexicon: Lexicon
     lexicon = collection_lexicon(texts, text_col) if lexicon is None else lexicon
     rows = texts.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = dict(rows.dtypes)["id"]
-    return rows.mapInArrow(_splitting(lexicon), f"id {kind}, sentence_no int, start_pos int, end_pos int, sentence string")
+    return spread(rows).mapInArrow(_splitting(lexicon), f"id {kind}, sentence_no int, start_pos int, end_pos int, sentence string")
