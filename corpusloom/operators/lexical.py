@@ -53,8 +53,9 @@ def bm25_scores(docs: DataFrame, query: str, id_col: str = "id", text_col: str =
     for i in range(len(asked)):
         idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         score += idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    # One row of statistics goes to every task.
-    return hit.crossJoin(F.broadcast(stats)).select("id", score.alias("score"))
+    # The one row of statistics goes to every task.
+    one = F.lit(1).alias("one")
+    return hit.select("*", one).join(F.broadcast(stats.select("*", one)), "one").select("id", score.alias("score"))
 
 
 def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:

@@ -75,7 +75,7 @@ def prompt_assembly(spark, d):
 
 def appended_turn_pairs(spark, d):
     turns = _turns(spark, d)
-    pairs = turns.groupBy("conv_id").agg(F.max_by("text", "turn").alias("question")).withColumn("answer", F.concat(F.lit("re: "), "question"))
+    pairs = turns.filter("text IS NOT NULL").groupBy("conv_id").agg(F.max_by("text", "turn").alias("question")).withColumn("answer", F.concat(F.lit("re: "), "question"))
     return D.appended_turns(turns, pairs).select("conv_id", "turn", "role", F.md5("text").alias("text"))
 
 
@@ -123,7 +123,7 @@ SQL = {
  SELECT doc_id, CASE m WHEN 0 THEN '' ELSE coalesce(trim(m || ' ' || title), '') END AS context, CASE m WHEN 0 THEN '' WHEN 2 THEN 'new_query' WHEN 5 THEN 'current_query' ELSE 'multimodal_query' END AS source FROM n""",
     "prompt_assembly": f"""SELECT doc_id, md5({Q.strip("'Answer briefly. ' || CASE WHEN doc_id % 3 = 0 OR " + Q.blank_to_null('text') + " IS NULL THEN title ELSE title || chr(10) || chr(10) || 'Context:' || chr(10) || text END")}) AS prompt
  FROM documents WHERE text IS NOT NULL AND title IS NOT NULL""",
-    "appended_turn_pairs": f"""WITH l AS (SELECT conv_id, max(turn) AS last, max_by(text, turn) AS q FROM {_T} GROUP BY conv_id)
+    "appended_turn_pairs": f"""WITH l AS (SELECT conv_id, max(turn) AS last, max_by(text, turn) FILTER (text IS NOT NULL) AS q FROM {_T} GROUP BY conv_id HAVING count(text) > 0)
  SELECT conv_id, turn, role, md5(text) AS text FROM {_T} UNION ALL SELECT conv_id, last + 1, 'user', md5(q) FROM l UNION ALL SELECT conv_id, last + 2, 'assistant', md5('re: ' || q) FROM l""",
     "history_snapshot": f"SELECT * FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM {_T}) WHERE back <= 5",
     "ordered_distinct_texts": f"SELECT conv_id, md5(t) AS text, min(turn) AS turn FROM (SELECT conv_id, turn, {Q.blank_to_null('text')} AS t FROM {_T}) WHERE t IS NOT NULL GROUP BY conv_id, t",

@@ -42,7 +42,7 @@ def stream_embedding_replies(spark, d):
 def stream_process_requests(spark, d):
     r = read_table(spark, d, "process_requests").filter("requested_at IS NOT NULL")
     fields = [F.col(c) for c in ("uuid", "url_download", "lang", "timeout_seconds", "correlation_id")]
-    odd = F.crc32("uuid") % 9 == 0
+    odd = F.substring("uuid", 1, 1).isin("0", "a")
     value = F.when(odd, F.to_json(F.struct(*fields, F.lit(1).alias("extra")))).otherwise(F.to_json(F.struct(*fields)))
     messages = _streamed(r.select(*_envelope(F.col("uuid"), value, F.col("requested_at"))), "process-requests")
     good, _ = W.process_requests(messages)
@@ -114,6 +114,8 @@ _C = lambda x: f"nullif(regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g'), '')"  #
 SQL = {
     "stream_embedding_replies": f"""SELECT chunk_id, CASE WHEN bad THEN 'failed' ELSE 'ok' END AS status, CASE WHEN bad THEN 0 ELSE 2 END AS n, CASE WHEN bad THEN 0 ELSE 64 END AS dimension
  FROM (SELECT chunk_id, chunk_id % 7 = 0 OR {_C('text')} IS NULL AS bad FROM chunks)""",
+    "stream_process_requests": f"""SELECT uuid, CASE WHEN timeout_seconds > 0 THEN timeout_seconds ELSE 180 END::BIGINT AS timeout_seconds, coalesce({_C('correlation_id')}, uuid) AS correlation_id,
+ epoch_us(requested_at) AS at_us FROM process_requests WHERE requested_at IS NOT NULL AND uuid[1] NOT IN ('0', 'a')""",
     "stream_windowed_counts": "SELECT epoch_us(time_bucket(INTERVAL 5 MINUTE, ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY ALL",
     "stream_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
  s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n_events FROM s GROUP BY user_id, k""",

@@ -70,7 +70,7 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_objects(files: DataFrame, bucket: str) -> DataFrame:
-    """Stores (folder, url, content) below a bucket's folder, one file each, and gives key and length. Each task writes its own rows;
+    """Stores (folder, url, content) below a bucket, a folder that all executors share, and gives key and length. Each task writes its own rows;
     a file is written beside and moved, so that a repeated task leaves the same."""
     os.makedirs(bucket, exist_ok=True)
     rows = files.select(object_key(F.col("folder"), F.col("url")).alias("key"), "content").filter(F.col("content").isNotNull())
