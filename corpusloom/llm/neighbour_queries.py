@@ -17,5 +17,15 @@ def p3_found(spark, d):
     return out.distinct()
 
 
-QUERIES = {"p3_found": p3_found}
+def p3_neighbours(spark, d):
+    """The five most similar of every fiftieth vector against all, whatever their cosine; windows are wide, as few ask."""
+    points, out = read_table(spark, d, "points"), None
+    for name, dim in FIELDS.items():
+        near = similar_vectors(points, "id", name, dim, k=5, window=8192, every=50)
+        rows = near.select(F.lit(name).alias("vector_name"), "id", "neighbour", "rank", F.round("cosine", 6).alias("cosine"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours}
 SQL = {}

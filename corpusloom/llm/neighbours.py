@@ -81,9 +81,10 @@ def coded(unit: np.ndarray) -> np.ndarray:
     return np.rint(unit * (127 / np.abs(unit).max(axis=1))[:, None]).astype(np.int8)
 
 
-def _ordering(curves: Curves, cuts: list[np.ndarray], dim: int, overlap: int):
+def _ordering(curves: Curves, cuts: list[np.ndarray], dim: int, overlap: int, both_sides: bool):
     """(vec_id, v) -> for each range of each curve the rows that belong there, packed. A row in the first cell of a range also
-    goes to the range before, so that windows cross the border; there it is only met, it meets nobody (flag 1)."""
+    goes to the range before, so that windows cross the border; there it is only met, it meets nobody (flag 1). Where windows reach
+    back too, rows of a last cell go to the range after in the same way."""
 
     def run(batches):
         seen: set[int] = set()
@@ -105,8 +106,9 @@ def _ordering(curves: Curves, cuts: list[np.ndarray], dim: int, overlap: int):
                 cell = np.searchsorted(cuts[k], key, side="right")
                 home = cell // overlap
                 again = np.flatnonzero((cell % overlap == 0) & (home > 0))
-                rows = np.concatenate([np.arange(len(at)), again])
-                where = np.concatenate([home, home[again] - 1])
+                after = np.flatnonzero(cell % overlap == overlap - 1) if both_sides else again[:0]
+                rows = np.concatenate([np.arange(len(at)), again, after])
+                where = np.concatenate([home, home[again] - 1, home[after] + 1])
                 packed = np.empty((len(rows), 17 + dim), np.uint8)
                 packed[:, :8] = key[rows].view(np.uint8).reshape(-1, 8)
                 packed[:, 8:16] = ids[rows].view(np.uint8).reshape(-1, 8)
@@ -162,6 +164,39 @@ def _meeting(dim: int, window: int, k: int, floor: float | None):
     return run
 
 
+def _asking(dim: int, window: int, k: int, floor: float | None, every: int):
+    """As _meeting, for the vectors whose identity is divisible by `every` only: each meets the window on both sides."""
+
+    def run(key, table):
+        rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), np.uint8).reshape(-1, 17 + dim)
+        keys, ids = (np.ascontiguousarray(rows[:, s : s + 8]).view(np.int64).ravel() for s in (0, 8))
+        order = np.lexsort((rows[:, 16], ids, keys))
+        order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]
+        ids = ids[order]
+        asked = np.flatnonzero((rows[order, 16] == 0) & (ids % every == 0))
+        v = rows[order, 17:].view(np.int8).astype(np.float32)
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        out = []
+        for at in range(0, len(asked), 32):
+            mine = asked[at : at + 32]
+            low, high = max(0, mine[0] - window), min(len(ids), mine[-1] + window + 1)
+            s = v[mine] @ v[low:high].T
+            away = np.abs(np.arange(low, high)[None, :] - mine[:, None])
+            s[(away == 0) | (away > window)] = -2
+            if floor is not None:
+                s[s < floor] = -2
+            best = min(k, s.shape[1])
+            y = np.argpartition(-s, best - 1, axis=1)[:, :best]
+            good = np.take_along_axis(s, y, axis=1) > -2
+            a = np.repeat(ids[mine], best)[good.ravel()]
+            b = ids[low + y.ravel()[good.ravel()]]
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b])
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return run
+
+
 def _cosines():
     def run(batches):
         for batch in batches:
@@ -178,14 +213,15 @@ def _cosines():
 
 def similar_vectors(
     rows: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5, least_cosine: float | None = None,
-    curves: int = 12, axes: int = 3, window: int = 512,
+    curves: int = 12, axes: int = 3, window: int = 512, every: int | None = None,
 ) -> DataFrame:
     """id, neighbour, cosine, rank (1..k) for every usable vector, by cosine, then by id.
 
     Usable: length dim, no null or non-finite item, norm not zero; other rows, and rows without id, are neither asked nor found.
     Equal vectors are one vector on the curves and are all found (as links between rows) at the end. least_cosine is pushed
-    down: a neighbour from there on is among the k nearest by others from there on, so nothing below need be kept. An empty
-    table gives an empty result.
+    down: a neighbour from there on is among the k nearest by others from there on, so nothing below need be kept. every: only
+    vectors whose 64-bit identity it divides are asked, against all; their windows may then be wide. An empty table gives an empty
+    result.
     """
     spark = rows.sparkSession
     base = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").alias("v")).filter(F.col("id").isNotNull() & (F.size("v") == dim))
@@ -202,22 +238,24 @@ def similar_vectors(
     inner = np.linspace(0, 1, ranges * overlap + 1)[1:-1]
     cuts = [np.quantile(made.keys(unit.astype(np.float32), c), inner, method="lower") if len(unit) else np.zeros(0, np.int64) for c in range(curves)]
     floor = None if least_cosine is None else least_cosine - 0.03  # more than the bytes can be off
-    placed = base.select("vec_id", "v").mapInArrow(_ordering(made, cuts, dim, overlap), "region long, rows binary")
-    pairs = placed.groupBy("region").applyInArrow(_meeting(dim, window, 3 * k, floor), "a long, b long").distinct()
+    placed = base.select("vec_id", "v").mapInArrow(_ordering(made, cuts, dim, overlap, every is not None), "region long, rows binary")
+    meet = _meeting(dim, window, 3 * k, floor) if every is None else _asking(dim, window, 3 * k, floor, every)
+    pairs = placed.groupBy("region").applyInArrow(meet, "a long, b long").distinct()
     pairs = written(pairs, "met")
     exact = attach(pairs, base.groupBy("vec_id").agg(F.min(F.struct("v")).getField("v").alias("v")), "vec_id", "v", pairs.count())
     exact = exact.select("a", "b", "v_a", "v_b").mapInArrow(_cosines(), "a long, b long, cosine double")
     if least_cosine is not None:
         exact = exact.filter(F.col("cosine") >= least_cosine)
     exact = written(exact, "cosines")
-    both = exact.unionByName(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+    mine = F.lit(True) if every is None else F.pmod("a", F.lit(every)) == 0
+    both = exact.unionByName(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")).filter(mine)
     # Only the k best vectors of a vector can hold its k best rows.
     best = both.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).filter(F.col("rank") <= k).drop("rank")
     members = base.select("id", "vec_id")
     firsts = _first_members(members, k + 1)
     near = best.join(firsts.select(F.col("vec_id").alias("b"), "first"), "b").select("a", F.explode("first").alias("neighbour"), "cosine")
     same = firsts.filter(F.size("first") > 1).select(F.col("vec_id").alias("a"), F.explode("first").alias("neighbour"), F.lit(1.0).alias("cosine"))
-    found = members.select("id", F.col("vec_id").alias("a")).join(near.unionByName(same), "a").filter("id <> neighbour")
+    found = members.select("id", F.col("vec_id").alias("a")).filter(mine).join(near.unionByName(same), "a").filter("id <> neighbour")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")))
     return ranked.filter(F.col("rank") <= k).select("id", "neighbour", "cosine", "rank")
 

@@ -56,3 +56,15 @@ def test_unusable_rows_copies_and_ties(spark):
 def test_curves_are_the_same_every_time():
     x = np.random.default_rng(1).standard_normal((5, 8)).astype(np.float32)
     assert (Curves(8, 2, 3).keys(x, 1) == Curves(8, 2, 3).keys(x, 1)).all()
+
+
+def test_some_are_asked_against_all(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1200, 12)).astype(np.float32)
+    ids = [f"v{i:05d}" for i in range(len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "id string, v array<float>")
+    got = similar_vectors(df, "id", "v", 12, 5, window=200, every=10).collect()
+    asked = {r["id"] for r in got}
+    want = {p for p in best(x, ids, 5, -1) if p[0] in asked}
+    assert 60 < len(asked) < 200 and len(got) == 5 * len(asked)
+    assert len(want & {(r["id"], r["neighbour"]) for r in got}) >= 0.9 * len(want)
