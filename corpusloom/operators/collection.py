@@ -129,7 +129,10 @@ class Collections:
         self.schema(name)
         if not self._runs(name):
             return self.spark.createDataFrame([], T.StructType([T.StructField("id", T.StringType())]))
-        every = self.spark.read.option("basePath", self._at(name)).option("mergeSchema", "true").parquet(*[self._at(name, f"run={k}") for k in self._runs(name)])
+        runs = self._runs(name)
+        if len(runs) == 1:  # ids are unique within a run
+            return self.spark.read.parquet(self._at(name, f"run={runs[0]}")).filter(~F.col("gone")).select("id", "item.*")
+        every = self.spark.read.option("basePath", self._at(name)).option("mergeSchema", "true").parquet(*[self._at(name, f"run={k}") for k in runs])
         latest = every.groupBy("id").agg(F.max_by(F.struct("item", "gone"), "run").alias("x"))
         return latest.filter(~F.col("x.gone")).select("id", "x.item.*")
 
