@@ -235,6 +235,7 @@ class Scorer:
         last = np.concatenate([first[1:], [len(count)]]) - 1
         done = whole[last]
         c[:, _OWN] += np.where(c[:, -1:] > 0, 0, 1e6)  # no such language without its script
+        scripted = c[:, -1] > 0
         c, words, cost = c[:, :-1], words[:, :-1], cost[:, :-1]
         best = c.argmin(axis=1)
         share = np.bincount(best[k > 0], weights=chars[k > 0], minlength=len(LANGUAGES))
@@ -244,6 +245,8 @@ class Scorer:
         upto = np.cumsum(count)
         for s in np.flatnonzero((best != main) & (k > 0)):
             other = int(best[s])
+            if scripted[s] and other not in _OWN:
+                continue  # a running header before the end of a sentence in a script of its own
             # Headings and torn ends, which are no whole sentences, need more.
             if c[s, main] - c[s, other] < (MARGIN if done[s] else 4 * MARGIN):
                 continue
@@ -254,7 +257,9 @@ class Scorer:
                 continue
             gain, size = cost[lines, main] - cost[lines, other], count[lines]
             # A running header before a sentence is no part of it: every line, and the last in any case, must agree.
-            if gain[size > 0][-1] > 0 and (gain[size >= 4] > 0).all():
+            # Short lines without an end mark, which may all be headers, don't count for it.
+            solid = gain[(size > 4) | whole[lines]].sum() if len(gain) > 1 else gain[0]
+            if gain[size > 0][-1] > 0 and (gain[size >= 4] > 0).all() and solid >= MARGIN:
                 lang[s], sure[s] = other, done[s]
         sure[(lang == main) & done & (k > 0)] = True
         ends = np.cumsum(lengths)
