@@ -8,7 +8,7 @@ from corpusloom.operators.search import SearchQuery, run_leg
 SCHEMA = CollectionSchema("c", [VectorConfig("text_dense", 2), VectorConfig("image_dense", 2)])
 POINTS = [
     ("u1", [1.0, 0.0], None, "retrieval with words", "en"), ("10001", [0.0, 1.0], None, "pumps", "en"), ("u3", None, [1.0, 0.0], None, "en"),
-    ("u4", [1.0, 1.0], [0.0, 1.0], "mixed", "en"), ("u5", [1.0, 0.5], None, "mRAG OCR retrieval", "vi"),
+    ("u4", [1.0, 1.0], [0.0, 1.0], "mixed", "en"), ("u5", [1.0, 0.5], None, "scanned page retrieval", "vi"),
 ]
 KIND = "id string, text_dense array<float>, image_dense array<float>, text string, lang string"
 
@@ -26,7 +26,7 @@ def test_life_of_a_collection(spark, store):
     store.upsert("c", points.limit(2))
     assert store.count("c") == 5
     vi = Filter(must=[Condition("lang", "eq", "vi")])
-    assert run_leg(store.rows("c"), SearchQuery("bm25", query_text="mRAG OCR retrieval", limit=10, filter=vi)).count() == 1
+    assert run_leg(store.rows("c"), SearchQuery("bm25", query_text="scanned page retrieval", limit=10, filter=vi)).count() == 1
     store.delete_where("c", vi)
     assert store.count("c") == 4
     store.compact("c")
