@@ -75,10 +75,10 @@ def stream_replies_awaited(spark, d):
     return out.select("cid", F.unix_micros("asked_at").alias("asked_us"), F.unix_micros("replied_at").alias("replied_us"), "status")
 
 
-def stream_deduplicated(spark, d):
-    """Replies upserted batch by batch as they come; every batch twice, as after a failure."""
+def _upserted_replies(spark, rows):
+    """One reply of each identifier, upserted batch by batch as they come; every batch twice, as after a failure."""
     store = MessageStore(spark, message_identifier(F.col("correlation_id"), F.col("msg_key"), F.col("headers")), REPLY_ORDER)
-    replies = _streamed(read_table(spark, d, "embed_results").filter("correlation_id IS NOT NULL OR msg_key <> ''"), "replies")
+    replies = _streamed(rows, "replies")
 
     def handle(batch, _):
         store.upsert(batch)
@@ -89,6 +89,16 @@ def stream_deduplicated(spark, d):
     return kept.select(F.col("identifier").alias("message_id"), F.col("item.topic_name"), F.col("item.topic_partition").cast("long").alias("topic_partition"), F.col("item.msg_offset").alias("msg_offset"))
 
 
+def stream_deduplicated(spark, d):
+    """Replies that name their request in body or key, as the SQL has them; stream_deduplicated_all takes all."""
+    return _upserted_replies(spark, read_table(spark, d, "embed_results").filter("correlation_id IS NOT NULL OR msg_key <> ''"))
+
+
+def stream_deduplicated_all(spark, d):
+    """All replies, those whose identifier stands only in the header too."""
+    return _upserted_replies(spark, read_table(spark, d, "embed_results"))
+
+
 def ingest_points(spark, d):
     docs = read_table(spark, d, "documents").select("doc_id", "text", "lang", F.col("source").alias("source_path"))
     p = points_of_documents(docs, ChunkConfig(similarity=0.3))
@@ -107,7 +117,7 @@ def ingest_verified(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (stream_embedding_replies, stream_process_requests, stream_windowed_counts, stream_sessions, stream_replies_awaited, stream_deduplicated, ingest_points, ingest_tallies, ingest_verified)
+    for f in (stream_embedding_replies, stream_process_requests, stream_windowed_counts, stream_sessions, stream_replies_awaited, stream_deduplicated, stream_deduplicated_all, ingest_points, ingest_tallies, ingest_verified)
 }
 _WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _C = lambda x: f"nullif(regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g'), '')"

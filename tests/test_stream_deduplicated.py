@@ -1,0 +1,23 @@
+"""Replies whose identifier stands only in the header are messages too."""
+
+from corpusloom.operators.delivery import REPLY_ORDER
+from corpusloom.plans.streaming import QUERIES
+from corpusloom.session import read_table
+
+
+def identifier(r):
+    return next((x.strip() for x in (r["correlation_id"], r["msg_key"], (r["headers"] or {}).get("correlation_id")) if x and x.strip()), None)
+
+
+def test_all_replies_come_out_once(spark, sf_dir):
+    first, header_only = {}, set()
+    for r in read_table(spark, sf_dir, "embed_results").collect():
+        i, rank = identifier(r), tuple((r[c] is None, r[c] or 0) for c in REPLY_ORDER)
+        if i is not None and (i not in first or rank < first[i][0]):
+            first[i] = (rank, r)
+        if i is not None and r["correlation_id"] is None and not r["msg_key"]:
+            header_only.add(i)
+    got = sorted(tuple(r) for r in QUERIES["stream_deduplicated_all"](spark, sf_dir).collect())
+    assert got == sorted((i, r["topic_name"], r["topic_partition"], r["msg_offset"]) for i, (_, r) in first.items())
+    fewer = {r["message_id"] for r in QUERIES["stream_deduplicated"](spark, sf_dir).collect()}
+    assert header_only and {i for i, *_ in got} > fewer
