@@ -31,7 +31,7 @@ _PAIR = dict(zip("([{（［【《〈“„«「『", ")]}）］】》〉””»
 _MARK = re.compile(r"[.!?…。！？।॥‼⁇⁈⁉]+")
 _BLANK_LINE = re.compile(r"\r?\n[^\S\n]*\n\s*")
 _LAST_WORD = re.compile(r"[^\s(\[{（【\"“„«「『]+\Z")
-#: Spans reach over so many possible ends at most.
+#: Spans over so many possible ends are all scored; longer ones as long as their bound allows that one of them is better.
 REACH = 40
 
 
@@ -212,11 +212,23 @@ class _Paragraph:
         firsts = [self.first(i) for i in range(m)]
         opens = [0.0] + [self.opening(i) for i in range(1, m)]
         best, back = [0.0] + [-1e18] * (m - 1), [0] * m
+        before, top = [0.0] * m, [0.0] * m  # score of all that comes before a span that begins at i, and the best of these up to i
         for j in range(1, m):
-            for i in range(max(0, j - REACH), j):
-                s = best[i] + opens[i] + self.span(i, j, firsts[i])
+            low = max(0, j - REACH)
+            for i in range(low, j):
+                s = before[i] + self.span(i, j, firsts[i])
                 if s > best[j]:
                     best[j], back[j] = s, i
+            # Beyond, a span scores what its end does at most, less what its length costs, and those further back are longer.
+            most = self.closing(j) if low and j < m - 1 else 0.0
+            for i in range(low - 1, -1, -1):
+                bound = most - 0.002 * max(0, self.ends[j] - firsts[i] - 400)
+                if top[i] + bound <= best[j]:
+                    break
+                if before[i] + bound > best[j] and (s := before[i] + self.span(i, j, firsts[i])) > best[j]:
+                    best[j], back[j] = s, i
+            before[j] = best[j] + opens[j]
+            top[j] = max(top[j - 1], before[j])
         out, j = [], m - 1
         while j > 0:
             out.append((firsts[back[j]], self.ends[j]))
