@@ -75,28 +75,21 @@ def stream_replies_awaited(spark, d):
     return out.select("cid", F.unix_micros("asked_at").alias("asked_us"), F.unix_micros("replied_at").alias("replied_us"), "status")
 
 
-def _upserted_replies(spark, rows):
-    """One reply of each identifier, upserted batch by batch as they come; every batch twice, as after a failure."""
+def stream_deduplicated(spark, d):
+    """One row of every reply, upserted batch by batch as they come; every batch twice, as after a failure."""
     store = MessageStore(spark, message_identifier(F.col("correlation_id"), F.col("msg_key"), F.col("headers")), REPLY_ORDER)
-    replies = _streamed(rows, "replies")
+    replies = _streamed(read_table(spark, d, "embed_results"), "replies")
 
     def handle(batch, _):
         store.upsert(batch)
         store.upsert(batch)
 
     W.run_available(replies, handle, fresh_path(spark, "replies-checkpoint"))
-    kept = store.compacted().filter("identifier IS NOT NULL")
-    return kept.select(F.col("identifier").alias("message_id"), F.col("item.topic_name"), F.col("item.topic_partition").cast("long").alias("topic_partition"), F.col("item.msg_offset").alias("msg_offset"))
-
-
-def stream_deduplicated(spark, d):
-    """Replies that name their request in body or key, as the SQL has them; stream_deduplicated_all takes all."""
-    return _upserted_replies(spark, read_table(spark, d, "embed_results").filter("correlation_id IS NOT NULL OR msg_key <> ''"))
-
-
-def stream_deduplicated_all(spark, d):
-    """All replies, those whose identifier stands only in the header too."""
-    return _upserted_replies(spark, read_table(spark, d, "embed_results"))
+    kept = store.compacted()
+    store.close()
+    return kept.select(
+        F.col("identifier").alias("message_id"), "copies", F.col("item.topic_name"), F.col("item.topic_partition").cast("long").alias("topic_partition"), F.col("item.msg_offset").alias("msg_offset")
+    )
 
 
 def ingest_points(spark, d):
@@ -117,7 +110,7 @@ def ingest_verified(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (stream_embedding_replies, stream_process_requests, stream_windowed_counts, stream_sessions, stream_replies_awaited, stream_deduplicated, stream_deduplicated_all, ingest_points, ingest_tallies, ingest_verified)
+    for f in (stream_embedding_replies, stream_process_requests, stream_windowed_counts, stream_sessions, stream_replies_awaited, stream_deduplicated, ingest_points, ingest_tallies, ingest_verified)
 }
 _WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _C = lambda x: f"nullif(regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g'), '')"
@@ -131,7 +124,8 @@ SQL = {
  s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n_events FROM s GROUP BY user_id, k""",
     "stream_replies_awaited": """WITH k AS (SELECT list_sort(list(DISTINCT event_type)) AS k FROM events) SELECT a.user_id AS cid, epoch_us(a.ts) AS asked_us, epoch_us(b.ts) AS replied_us, 'ok' AS status
  FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 90 MINUTE, k WHERE a.event_type = k[1] AND b.event_type = k[2]""",
-    "stream_deduplicated": f"""WITH m AS (SELECT *, coalesce({_C('correlation_id')}, {_C('msg_key')}, {_C("headers['correlation_id']")}) AS message_id FROM embed_results WHERE correlation_id IS NOT NULL OR msg_key <> '')
- SELECT message_id, topic_name, topic_partition::BIGINT AS topic_partition, msg_offset FROM (SELECT *, row_number() OVER (PARTITION BY message_id
- ORDER BY replied_at NULLS LAST, topic_name NULLS LAST, topic_partition NULLS LAST, msg_offset NULLS LAST) AS rn FROM m WHERE message_id IS NOT NULL) WHERE rn = 1""",
+    "stream_deduplicated": f"""WITH m AS (SELECT *, coalesce({_C('correlation_id')}, {_C('msg_key')}, {_C("headers['correlation_id']")}) AS message_id FROM embed_results)
+ SELECT message_id, CASE WHEN message_id IS NULL THEN 1 ELSE n END AS copies, topic_name, topic_partition::BIGINT AS topic_partition, msg_offset
+ FROM (SELECT *, count(*) OVER (PARTITION BY message_id) AS n, row_number() OVER (PARTITION BY message_id
+ ORDER BY replied_at NULLS LAST, topic_name NULLS LAST, topic_partition NULLS LAST, msg_offset NULLS LAST) AS rn FROM m) WHERE rn = 1 OR message_id IS NULL""",
 }

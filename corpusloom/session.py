@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,8 +41,36 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Folders that this process made in the shared one and still has to delete; each scratch() block has its own list.
+_MADE: list[list[tuple[SparkSession, str]]] = [[]]
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new folder's path in the shared folder. It is deleted at the end of the innermost scratch() block, else of this process."""
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    if len(_MADE) == 1 and not _MADE[0]:
+        atexit.register(_sweep, _MADE[0])  # runs before the session's own exit
+    _MADE[-1].append((spark, path))
+    return path
+
+
+def _sweep(made: list[tuple[SparkSession, str]]) -> None:
+    while made:
+        spark, path = made.pop()
+        try:
+            drop_path(spark, path)
+        except Exception:  # noqa: BLE001 - the session may be gone, and its folder with it
+            continue
+
+
+@contextmanager
+def scratch():
+    """Everything that is written to the shared folder inside the block is deleted at its end; read results before."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        _sweep(_MADE.pop())
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

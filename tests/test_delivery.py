@@ -29,15 +29,63 @@ def test_empty_table(spark):
     assert deduplicated_replies(rows(spark, [])).count() == 0
 
 
+def state(store):
+    return sorted((r["identifier"] or "", r["copies"], r["item"]["msg_offset"], r["item"]["batch_id"]) for r in store.compacted().collect())
+
+
+def new_store(spark):
+    return MessageStore(spark, message_identifier(F.col("correlation_id"), F.col("msg_key"), F.col("headers")), REPLY_ORDER, buckets=3)
+
+
 def test_upserts_are_idempotent_and_hot_keys_collapse(spark):
-    df = rows(spark, [row(i, "hot" if i % 3 else f"k{i}", at=None if i == 1 else i) for i in range(300)])
-    one, two = (MessageStore(spark, message_identifier(F.col("correlation_id"), F.col("msg_key"), F.col("headers")), REPLY_ORDER) for _ in range(2))
+    data = [row(i, "hot" if i % 3 else f"k{i}", at=None if i == 1 else i) for i in range(300)]
+    data += [row(400 + i // 2) for i in range(10)] + [row(i, "hot", at=i, batch="again") for i in range(0, 300, 7)] + [row(2, "hot", at=2)]
+    df = rows(spark, data)
+    one, two, three = (new_store(spark) for _ in range(3))
     one.upsert(df)
     for part in (df.filter("msg_offset % 2 = 1"), df, df.filter("msg_offset % 2 = 0")):
         two.upsert(part)
-    kept = [sorted((r["identifier"], r["item"]["msg_offset"]) for r in s.compacted().collect()) for s in (one, two)]
-    assert kept[0] == kept[1] and ("hot", 2) in kept[0] and len(kept[0]) == 101
-    plan = two.compacted()._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
-    one.drop()
-    two.drop()
+    first = state(three_times(three, df))
+    kept = state(one)
+    assert kept == state(two) == first
+    assert ("hot", 200 + 43 + 1, 0, "again") in kept
+    assert sum(1 for r in kept if not r[0]) == 10 and len(kept) == 101 + 10
+    for s in (one, two, three):
+        s.drop()
+
+
+def three_times(store, df):
+    """The same batch again after a compaction, and again before one."""
+    store.upsert(df)
+    store.compact()
+    store.upsert(df)
+    store.upsert(df)
+    return store
+
+
+def test_sorted_runs_are_merged_without_a_shuffle_or_a_sort(spark):
+    df = rows(spark, [row(i, f"k{i % 70}", at=i) for i in range(200)])
+    store = new_store(spark)
+    store.upsert(df)
+    store.upsert(df)
+    for kind in ("messages", "deliveries"):
+        plan = store._planned(lambda: store.merged(kind, *[t for t, _ in store.runs[kind]])._jdf.queryExecution().executedPlan().toString())  # noqa: B023
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    store.compact()
+    assert [len(r) for r in store.runs.values()] == [1, 1]
+    names = {t.name for t in spark.catalog.listTables()}
+    assert {store.runs["messages"][0][0], store.runs["deliveries"][0][0]} <= names
+    store.drop()
+    assert not {n for n in names if n.startswith(("messages_", "deliveries_"))} & {t.name for t in spark.catalog.listTables()}
+
+
+def test_equal_splits_of_the_query(spark):
+    from corpusloom.operators.delivery import reply_store
+
+    df = rows(spark, [row(i, f"k{i % 20}" if i % 5 else None, at=i, batch=f"b{i % 6}") for i in range(100)])
+    states = []
+    for runs in (1, 2, 5):
+        store = reply_store(df, runs)
+        states.append(state(store))
+        store.drop()
+    assert states[0] == states[1] == states[2]
