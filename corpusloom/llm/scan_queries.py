@@ -8,9 +8,10 @@ from corpusloom.session import read_table, written
 
 def _scanned(points):
     """Fields that come from scanned pages: the ocr_text of scans, and the text of those that have no other. Labels in figures are no pages."""
-    ocr = points.filter((F.col("modality") == "scan") & F.col("ocr_text").isNotNull()).select("id", F.lit("ocr_text").alias("field_name"), F.col("ocr_text").alias("text"))
+    facts = ["id", F.coalesce("doc_id", "source_path").alias("doc"), "page"]
+    ocr = points.filter((F.col("modality") == "scan") & F.col("ocr_text").isNotNull()).select(*facts, F.lit("ocr_text").alias("field_name"), F.col("ocr_text").alias("text"))
     plain = points.filter((F.col("modality") == "scan") & F.col("ocr_text").isNull() & F.col("text").isNotNull())
-    return ocr.unionByName(plain.select("id", F.lit("text").alias("field_name"), "text"))
+    return ocr.unionByName(plain.select(*facts, F.lit("text").alias("field_name"), "text"))
 
 
 def _decided(spark, d):

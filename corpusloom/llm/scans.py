@@ -1,9 +1,11 @@
 """Text of scanned pages, repaired into paragraphs (problem 2).
 
-Headers and footers are lines that recur, fuzzily, at the edges of pages: digits and rare names are masked and letters that are
-misread for each other are folded before lines are counted over the collection. Page numbers are lines of nothing else. Words
-broken at line ends are joined where the collection's vocabulary knows the joined word, and a word that the clean texts don't
-know is misread if undoing a usual confusion of characters gives one that they know well.
+Headers and footers are lines that recur, fuzzily, at the edges of pages: on neighbouring pages of their document, with digits and
+one word masked, whatever the size of document and collection; or, for documents of a page or two, as wordings usual in the whole
+collection. Letters that are misread for each other are folded before lines are compared. Page numbers are lines of a number that
+goes on a sequence: of the text's other numbers, of its pages, or of the document's. Words broken at line ends are joined where the
+collection's vocabulary knows the joined word. Which characters are misread for which is learnt from words that the clean texts don't
+know and that one such confusion parts from a word they know well; such words are misread.
 """
 
 from __future__ import annotations
@@ -17,12 +19,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import spread, written
 
-#: (misread, right) character sequences that scanners confuse: fixed values.
-CONFUSIONS = (
-    ("c", "e"), ("f", "t"), ("!", "i"), ("o", "a"), ("0", "o"), ("5", "s"), ("q", "g"), ("ii", "u"), ("1", "l"), ("cl", "d"), ("b", "h"),
-    ("rn", "m"), ("rm", "nn"), ("6", "b"), ("8", "b"), ("9", "g"), ("vv", "w"), ("m", "rn"), ("ii", "ü"), ("l", "i"), ("d", "cl"), ("6", "ó"),
-    ("a", "ä"), ("a", "á"), ("a", "à"), ("a", "ạ"), ("e", "é"), ("e", "è"), ("e", "ê"), ("o", "ó"), ("o", "ö"), ("o", "ô"), ("o", "ộ"), ("u", "ü"), ("u", "ú"), ("i", "í"),
-)
+#: Least share of all words that a confusion explains, so that there are fewer confusions than its inverse; and distinct words.
+CONFUSION_SHARE, CONFUSION_WORDS = 0.001, 2
+#: Neighbouring pages on which a line must recur, and their share of the texts that begin within so many pages.
+PAGES, PAGE_SHARE, NEAR_PAGES = 3, 0.3, 16
 BREAKS = "-­‐¬"
 #: Shares of the scanned texts in which a word must stand at page edges to be a fixed word of headers: with each of them lines are
 #: masked anew, as the names of a document with many pages may pass the lower ones. And the share for a masked line.
@@ -58,10 +58,61 @@ def key_tokens(line: str) -> list[str]:
 
 
 def is_page_number(line: str) -> bool:
+    """Whether a line has the form of a page number."""
     bare = line.strip()
     return 0 < len(bare) <= 24 and (bare[0].isdigit() or bare[0] in "-–—[(pPiIvVxXlL") and bool(_PAGE.match(line))
 
 
+_NUMERAL = re.compile(r"\d{1,4}|[ivxl]+", re.IGNORECASE)
+_LABEL = re.compile(r"\s*[-–—\[(]*\s*p(?:age|\.)?\s*\d", re.IGNORECASE)
+#: Numerals as page numbers are set and others seldom: between dashes or brackets, or Roman in small letters.
+_SET_APART = re.compile(r"\s*(?:[-–—\[(]+\s*(?:\d{1,4}|[ivxl]+)\s*[-–—\])]+|[ivxl]+)\s*\Z")
+
+
+def page_value(line: str) -> tuple[str, int]:
+    """Kind of numeral (d, r) and value of a line that has the form of a page number."""
+    t = _NUMERAL.search(re.sub(r"(?i)p(?:age|\.)?\s*", "", line, count=1)).group()
+    if t.isdigit():
+        return "d", int(t)
+    values = [{"i": 1, "v": 5, "x": 10, "l": 50}[c] for c in t.lower()]
+    return "r", sum(-v if v < max(values[k:]) else v for k, v in enumerate(values))
+
+
+def outer_numbers(line: str) -> list[int]:
+    """Numbers set apart at a line's ends."""
+    return [int(m.group()) for m in _OUTER_NUMBER.finditer(line)]
+
+
+def in_sequence(lines: list[str], at: list[int], running: list[bool], page: int | None, known) -> set[int]:
+    """Which of the lines `at`, of the form of page numbers, are some: labelled ones, those known from their document, those that go on
+    the numbers before or after them (running lines that end in one among them), that are the text's own page or one it reaches, that
+    stand beside a running line, or that are set apart as page numbers are (of one letter, at the text's ends or inside a paragraph)."""
+    full = [k for k, x in enumerate(lines) if x.strip()]
+    place = {k: p for p, k in enumerate(full)}
+    numbers = []  # (line, kind, value) of all that may be one page's number, in order
+    for k in full:
+        if k in at:
+            numbers.append((k, *page_value(lines[k])))
+        elif running[k]:
+            numbers.extend((k, "d", v) for v in outer_numbers(lines[k]))
+    out = set()
+    pages = 3 + len(at)  # a page or two of a text may have lost their number
+    for n, (k, kind, v) in enumerate(numbers):
+        if k not in at:
+            continue
+        before = [w for _, other, w in numbers[max(0, n - 2) : n] if other == kind]
+        after = [w for _, other, w in numbers[n + 1 : n + 3] if other == kind]
+        beside = [full[p] for p in (place[k] - 1, place[k] + 1) if 0 <= p < len(full)]
+        inside = len(beside) == 2 and not (_TERMINAL.search(lines[beside[0]]) and k - 1 == beside[0] and k + 1 == beside[1])
+        if (
+            _LABEL.match(lines[k]) or k in known or any(v - w in (0, 1) for w in before) or any(w - v in (0, 1) for w in after)
+            or (page is not None and 0 < page <= v < page + pages) or any(running[b] for b in beside)
+            or (_SET_APART.match(lines[k]) and (len(beside) < 2 or inside or len(lines[k].strip()) > 1))
+        ):
+            out.add(k)
+    return out
+
+
 def _too_much(line: str) -> bool:
     """Whether a line is too long for a header or footer, or ends as sentences and broken words do."""
     return len(line) > 80 or line.count(" ") > 14 or line.rstrip()[-1:] in ".!?。！？।:;,，、" + BREAKS
@@ -72,34 +123,95 @@ def _may_run(line: str, tokens: list[str]) -> bool:
     return 0 < len(tokens) <= 9 and not _ROW.match(line) and not _HEADING.match(line) and not (_TERMINAL.search(line) or line.rstrip()[-1:] in BREAKS)
 
 
-def edges(lines: list[str]) -> list[bool]:
+def edges(lines: list[str], page: int | None = None) -> list[bool]:
     """Lines near the edge of a page: the first and last of the text and those around page numbers, blank ones not counted."""
     full = [k for k, x in enumerate(lines) if x.strip()]
     near = [False] * len(lines)
-    marks = [-1, len(full), *[p for p, k in enumerate(full) if is_page_number(lines[k])]]
+    numbers = [k for k in full if is_page_number(lines[k])]
+    sure = in_sequence(lines, numbers, [False] * len(lines), page, ()) if numbers else ()
+    marks = [-1, len(full), *[p for p, k in enumerate(full) if k in sure]]
     for m in marks:
         for p in range(max(0, m - EDGE), min(len(full), m + EDGE + 1)):
             near[full[p]] = True
     return near
 
 
+def _page_keys(tokens: list[str]) -> list[str]:
+    """The forms in which a line may recur on the pages of its document: as it is, and with one of its words masked where two are left."""
+    letters = [k for k, t in enumerate(tokens) if t[0].isalpha()]
+    if not letters or (len(letters) == 1 and len(tokens[letters[0]]) < 3):
+        return []
+    forms = [tokens] + [[*tokens[:k], "*", *tokens[k + 1 :]] for k in letters if len(letters) > 2]
+    return [" ".join(f) for f in forms]
+
+
 def _edge_rows(batches):
-    """(id, field_name, text) -> tokens of the lines that can be headers or footers, and whether they stand at an edge."""
+    """(id, field_name, doc, page, text) -> of the lines that can be headers, footers or page numbers: their tokens (null for numbers),
+    whether they stand at an edge, and the forms in which they may recur on other pages."""
     for batch in batches:
-        at, tokens, edge = [], [], []
-        for i, t in enumerate(batch.column(2).to_pylist()):
+        at, numbers, tokens, edge, keys = [], [], [], [], []
+        for i, (doc, page, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc", "page", "text")))):
             lines = t.split("\n")
-            near = edges(lines)
+            near = edges(lines, page)
+            passed = 0
             for k, line in enumerate(lines):
-                if line.strip() and not _too_much(line) and not is_page_number(line) and _may_run(line, ts := key_tokens(line)):
-                    at.append(i)
-                    tokens.append(ts)
-                    edge.append(near[k])
+                if not line.strip():
+                    continue
+                if is_page_number(line):
+                    kind, value = page_value(line)
+                    # Numbers of one sequence are as far from their text's page; several in a text count its pages.
+                    ks = [f"# {kind} {value - (page or 0) - n}" for n in {0, passed}] if doc is not None and near[k] else []
+                    passed += 1
+                    ts = None
+                elif not _too_much(line) and _may_run(line, ts := key_tokens(line)):
+                    ks = _page_keys(ts) if near[k] else []
+                    ks = ks[:1] if doc is None else ks
+                else:
+                    continue
+                at.append(i)
+                numbers.append(k)
+                tokens.append(ts)
+                edge.append(near[k])
+                keys.append(ks)
+        take = pa.array(at, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(at, pa.int64())), pa.array(tokens, pa.list_(pa.string())), pa.array(edge, pa.bool_())], ["id", "tokens", "edge"]
+            [*[batch.column(c).take(take) for c in ("id", "field_name", "doc", "page")], pa.array(numbers, pa.int32()), pa.array(tokens, pa.list_(pa.string())), pa.array(edge, pa.bool_()), pa.array(keys, pa.list_(pa.string()))],
+            ["id", "field_name", "doc", "page", "line", "tokens", "edge", "keys"],
         )
 
 
+def _stretches(page) -> list:
+    """Stretches of neighbouring pages that a page is in: two, half a stretch apart, so that those near a border meet as well."""
+    half = NEAR_PAGES // 2
+    return [F.concat(F.lit("a"), F.floor(page / NEAR_PAGES).cast("string")), F.concat(F.lit("b"), F.floor((page + half) / NEAR_PAGES).cast("string"))]
+
+
+def recurring_lines(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, field_name, known: lines at page edges that recur on neighbouring pages of their document, by three texts at least and a
+    share of those that begin there. Without documents, lines that recur without any change in three texts, mostly at edges.
+
+    All is counted by document and stretch of pages, so neither size of document nor of collection matters; the forms of a hot
+    document are summed where they are read.
+    """
+    page = F.coalesce("page", F.lit(0))
+    stretch = F.explode(F.array(*_stretches(page))).alias("stretch")
+    n_texts = texts.filter("doc IS NOT NULL").select("doc", stretch).groupBy("doc", "stretch").agg(F.count("*").alias("n_texts"))
+    edge = rows.filter("edge AND size(keys) > 0")
+    each = edge.filter("doc IS NOT NULL").select("id", "field_name", "line", "doc", stretch, F.explode("keys").alias("key"))
+    often = each.groupBy("doc", "stretch", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= PAGES)
+    # Lines that recur within one text are counted once, but only the few forms that may pass are looked at so closely.
+    once = each.join(often.select("doc", "stretch", "key"), ["doc", "stretch", "key"]).dropDuplicates(["doc", "stretch", "key", "id", "field_name"])
+    good = once.groupBy("doc", "stretch", "key").agg(F.count("*").alias("n")).join(n_texts, ["doc", "stretch"])
+    good = good.filter((F.col("n") >= PAGES) & (F.col("n") >= PAGE_SHARE * F.col("n_texts"))).select("doc", "stretch", "key")
+    found = each.join(good, ["doc", "stretch", "key"]).select("id", "field_name", "line")
+    alone = rows.filter("doc IS NULL AND tokens IS NOT NULL").select("id", "field_name", "line", "edge", F.array_join("tokens", " ").alias("key"))
+    kept = alone.filter("edge").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= PAGES)
+    inner = alone.filter("NOT edge").groupBy("key").agg(F.count("*").alias("inner"))
+    kept = kept.join(inner, "key", "left").filter(F.coalesce("inner", F.lit(0)) * 4 <= F.col("n")).select("key")
+    found = found.unionByName(alone.filter("edge").join(kept, "key").select("id", "field_name", "line"))
+    return found.groupBy("id", "field_name").agg(F.collect_set("line").alias("known"))
+
+
 def line_key(tokens: list[str], words: set) -> str | None:
     """The line with all but fixed words masked; None if too little is fixed to tell a header by."""
     out = [t if t in words or not t[0].isalpha() else "*" for t in tokens]
@@ -108,10 +220,20 @@ def line_key(tokens: list[str], words: set) -> str | None:
 
 
 class Furniture:
-    """Fixed words of headers and footers, and the masked lines that recur at page edges. Both are bounded by their shares."""
+    """Headers, footers and page numbers of texts (id, field_name, doc, page, text).
+
+    levels: wordings that are usual in the whole collection, for documents of few pages: fixed words and the masked lines that recur at
+    page edges, both bounded by their shares. texts: the texts with the lines known from their own document's pages.
+    """
 
     def __init__(self, texts: DataFrame):
-        rows = written(texts.select("id", "field_name", "text").mapInArrow(_edge_rows, "id string, tokens array<string>, edge boolean"), "edges")
+        kind = dict(texts.dtypes)["id"]
+        rows = texts.select("id", "field_name", "doc", "page", "text").mapInArrow(
+            _edge_rows, f"id {kind}, field_name string, doc string, page int, line int, tokens array<string>, edge boolean, keys array<string>"
+        )
+        rows = written(rows, "edges")
+        self.texts = texts.join(recurring_lines(rows, texts), ["id", "field_name"], "left")
+        rows = rows.filter("tokens IS NOT NULL")
         n = max(1, texts.count())
         at_edge = rows.filter("edge")
         per_text = at_edge.select("id", F.explode(F.array_distinct("tokens")).alias("t")).filter(F.col("t").rlike(r"^\p{L}")).distinct()
@@ -126,23 +248,29 @@ class Furniture:
             found = keys.filter((F.col("e") >= max(3, LINE_SHARE * n)) & (F.col("e") >= 0.6 * F.col("n"))).select("key").collect()
             self.levels.append((fixed, {k for (k,) in found if line_key(k.split(" "), fixed) == k}))
 
-    def marks(self, lines: list[str]) -> list[bool]:
-        out = []
-        for line in lines:
-            if not line.strip():
-                out.append(False)
-            elif is_page_number(line):
-                out.append(True)
-            elif _too_much(line):
-                out.append(False)
-            else:
-                ts = key_tokens(line)
-                # More than three words that no level has fixed can't be masked away.
-                if sum(t[0].isalpha() and t not in self.levels[0][0] for t in ts) > 2:
-                    out.append(False)
-                    continue
-                out.append(_may_run(line, ts) and any(self._recurs(ts, fixed, keys) for fixed, keys in self.levels))
-        return out
+
+class _Marks:
+    """Decides on the lines of one text; goes to the executors."""
+
+    def __init__(self, levels):
+        self.levels = levels
+
+    def marks(self, lines: list[str], page: int | None = None, known=()) -> list[bool]:
+        """Which lines are headers, footers or page numbers; known: places of those that the document's other pages tell."""
+        running = [k in known and not is_page_number(line) or self._usual(line) for k, line in enumerate(lines)]
+        numbers = [k for k, line in enumerate(lines) if is_page_number(line)]
+        good = in_sequence(lines, numbers, running, page, known) if numbers else ()
+        return [running[k] or k in good for k in range(len(lines))]
+
+    def _usual(self, line: str) -> bool:
+        """Whether a line has one of the collection's usual wordings."""
+        if not line.strip() or is_page_number(line) or _too_much(line):
+            return False
+        ts = key_tokens(line)
+        # More than three words that no level has fixed can't be masked away.
+        if sum(t[0].isalpha() and t not in self.levels[0][0] for t in ts) > 2:
+            return False
+        return _may_run(line, ts) and any(self._recurs(ts, fixed, keys) for fixed, keys in self.levels)
 
     @staticmethod
     def _recurs(tokens: list[str], fixed: set, keys: set) -> bool:
@@ -165,8 +293,8 @@ def split_words(lines: list[str], furniture: list[bool]):
             yield k, after, left.group(), right.group(), line[-1] != "-"
 
 
-def _line_rows(furniture: Furniture):
-    """(id, field_name, text) -> what is to be decided of its lines: kind and words (see scan_decisions)."""
+def _line_rows(marked):
+    """(id, field_name, page, known, text) -> what is to be decided of its lines: kind and words (see scan_decisions)."""
 
     def run(batches):
         for batch in batches:
@@ -178,9 +306,9 @@ def _line_rows(furniture: Furniture):
                 kinds.append(kind)
                 words.append(w)
 
-            for i, t in enumerate(batch.column(2).to_pylist()):
+            for i, (page, known, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page", "known", "text")))):
                 lines = t.split("\n")
-                marks = furniture.marks(lines)
+                marks = marked(lines, page, frozenset(known or ()))
                 heads, tails = {}, {}
                 for k, after, left, right, sure in split_words(lines, marks):
                     heads[after], tails[k] = right, left
@@ -212,11 +340,51 @@ def _line_rows(furniture: Furniture):
     return run
 
 
-def corrections(word: str):
+def _gaps(word: str):
+    """(rest, gap): the word with one or two of its characters left out at every place, as long as three are left."""
+    for size in (1, 2):
+        if len(word) - size >= 3:
+            for k in range(len(word) - size + 1):
+                yield f"{word[:k]}\0{word[k + size :]}", word[k : k + size]
+
+
+def _gapped(batches):
+    for batch in batches:
+        words, rests, gaps = [], [], []
+        for w in batch.column(0).to_pylist():
+            if 4 <= len(w) <= 40:
+                for rest, gap in _gaps(w):
+                    words.append(w)
+                    rests.append(rest)
+                    gaps.append(gap)
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(rests, pa.string()), pa.array(gaps, pa.string())], ["word", "rest", "gap"])
+
+
+def learnt_confusions(unknown: DataFrame, vocab: DataFrame) -> list[tuple[str, str]]:
+    """(misread, right) character sequences, the most usual first: (word) that no clean text has against (word, n) of the clean texts.
+
+    An unknown word speaks for a confusion where undoing it gives a word the clean texts know well, and counts for each of its
+    readings in equal parts. Confusions below CONFUSION_SHARE of all that words speak for are chance; what is collected is bounded by it.
+    """
+    schema = "word string, rest string, gap string"
+    # Numbers and codes are no words, and what was meant are letters.
+    asked = unknown.select("word").filter(~F.col("word").rlike(r"^\P{L}*$|\d{2}|-\d|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")).mapInArrow(_gapped, schema)
+    right = vocab.filter("n >= 3").select("word").mapInArrow(_gapped, schema).select(F.col("word").alias("right"), "rest", F.col("gap").alias("meant")).filter(F.col("meant").rlike(r"^\p{L}+$"))
+    pairs = asked.join(right, "rest").filter("gap <> meant AND (length(gap) = 1 OR length(meant) = 1 OR (substring(gap, 1, 1) <> substring(meant, 1, 1) AND substring(gap, -1) <> substring(meant, -1)))")
+    # A longer gap that only carries along a common character is the shorter one at another place.
+    pairs = pairs.filter("NOT (length(gap) = length(meant) AND length(gap) = 2 AND (substring(gap, 1, 1) = substring(meant, 1, 1) OR substring(gap, 2, 1) = substring(meant, 2, 1)))")
+    pairs = written(pairs.select("word", "gap", "meant", "right").distinct(), "readings")
+    shares = pairs.join(pairs.groupBy("word").agg(F.count("*").alias("k")), "word").groupBy("gap", "meant").agg(F.sum(1 / F.col("k")).alias("weight"), F.count_distinct("word").alias("words"))
+    total = shares.agg(F.sum("weight")).first()[0] or 0.0
+    good = shares.filter((F.col("weight") >= CONFUSION_SHARE * total) & (F.col("words") >= CONFUSION_WORDS))
+    return [(r["gap"], r["meant"]) for r in good.orderBy(F.desc("weight"), "gap", "meant").collect()]
+
+
+def corrections(word: str, confusions: list[tuple[str, str]]):
     """(word with one or two confusions undone, place of the first)."""
     seen = {word}
     first = []
-    for wrong, right in CONFUSIONS:
+    for wrong, right in confusions:
         at = word.find(wrong)
         while at >= 0:
             new = word[:at] + right + word[at + len(wrong) :]
@@ -227,25 +395,30 @@ def corrections(word: str):
             at = word.find(wrong, at + 1)
     if any(c.isdigit() or c == "!" for c in word):
         for half, at in first:
-            for wrong, right in CONFUSIONS:
+            for wrong, right in confusions:
                 b = half.find(wrong)
                 if b >= 0 and (new := half[:b] + right + half[b + len(wrong) :]) not in seen:
                     seen.add(new)
                     yield new, min(at, b)
 
 
-def _correcting(batches):
-    for batch in batches:
-        words, news, ats = [], [], []
-        for w in batch.column(0).to_pylist():
-            if len(w) > 40 or not any(c.isalpha() for c in w):
-                continue
-            for new, at in corrections(w):
-                if new.isalpha() or not new.isascii() or "-" in new or "'" in new:
-                    words.append(w)
-                    news.append(new)
-                    ats.append(at)
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(news, pa.string()), pa.array(ats, pa.int32())], ["word", "right", "at"])
+def _correcting(confusions):
+    """(word) -> word, right, at: what it may have been."""
+
+    def run(batches):
+        for batch in batches:
+            words, news, ats = [], [], []
+            for w in batch.column(0).to_pylist():
+                if len(w) > 40 or not any(c.isalpha() for c in w):
+                    continue
+                for new, at in corrections(w, confusions):
+                    if new.isalpha() or not new.isascii() or "-" in new or "'" in new:
+                        words.append(w)
+                        news.append(new)
+                        ats.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(news, pa.string()), pa.array(ats, pa.int32())], ["word", "right", "at"])
+
+    return run
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
@@ -257,11 +430,16 @@ def vocabulary(texts: DataFrame) -> DataFrame:
 
 
 def scan_decisions(scanned: DataFrame, clean: DataFrame) -> DataFrame:
-    """(id, field_name, text) of scanned and (text) of clean texts -> id, field_name, line_no, kind (furniture, hyphen, misread), word,
-    right (the word joined or corrected, else null). A line may have several rows; null and empty texts have none."""
-    scanned = spread(scanned.filter(F.col("text").isNotNull()).select("id", "field_name", "text"))
+    """(id, field_name, text) and, where known, (doc, page) of scanned and (text) of clean texts -> id, field_name, line_no, kind
+    (furniture, hyphen, misread), word, right (the word joined or corrected, else null). page is where the text begins; a null, or one
+    below 1, is no page. A line may have several rows; null and empty texts have none."""
+    facts = [F.col(c).cast(t) if c in scanned.columns else F.lit(None).cast(t).alias(c) for c, t in (("doc", "string"), ("page", "int"))]
+    scanned = spread(scanned.filter(F.col("text").isNotNull()).select("id", "field_name", *facts, "text"))
     furniture = Furniture(scanned)
-    lines = written(scanned.select("id", "field_name", "text").mapInArrow(_line_rows(furniture), "id string, field_name string, line_no int, kind string, words array<string>"), "lines")
+    kind = dict(scanned.dtypes)["id"]
+    told = furniture.texts.select("id", "field_name", "page", "known", "text")
+    marked = _Marks(furniture.levels)
+    lines = written(told.mapInArrow(_line_rows(marked.marks), f"id {kind}, field_name string, line_no int, kind string, words array<string>"), "lines")
     vocab = written(vocabulary(clean), "vocabulary")
     joined = vocab.select(F.col("word").alias("joined"), F.col("n").alias("n_joined"))
     kept = vocab.select(F.col("word").alias("kept"), F.col("n").alias("n_kept"))
@@ -278,7 +456,9 @@ def scan_decisions(scanned: DataFrame, clean: DataFrame) -> DataFrame:
     words = plain.unionByName(split)
     known = vocab.select("word", "n")
     asked = words.select("word").distinct().join(known, "word", "left").fillna(0, ["n"])
-    tried = asked.select("word").mapInArrow(_correcting, "word string, right string, at int")
+    asked = written(asked, "asked")
+    confusions = learnt_confusions(asked.filter("n = 0").select("word"), vocab)
+    tried = asked.select("word").mapInArrow(_correcting(confusions), "word string, right string, at int")
     rights = tried.join(known.select(F.col("word").alias("right"), F.col("n").alias("n_right")), "right").join(asked, "word")
     odd = F.col("word").rlike(r"[0-9!]")
     rights = rights.filter((F.col("n") * 200 <= F.col("n_right")) & (F.col("n_right") >= F.when(odd, 1).otherwise(3)))

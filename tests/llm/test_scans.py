@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from corpusloom.llm.scans import Furniture, corrections, folded, is_page_number, repair_scans, repaired, scan_decisions
+from corpusloom.llm.scans import _Marks, corrections, folded, in_sequence, is_page_number, learnt_confusions, page_value, repair_scans, repaired, scan_decisions
 
 BODY = ["the pump feeds the cool-", "ing loop and the valve", "stops the motor at night.", "3.1 Details", "12 13 14", "A real-", "time clock ru1es here."]
 
@@ -13,7 +15,7 @@ def page(n, title, body):
 def tables(spark):
     names = ["Alpha", "Bravo", "Carol", "Delta", "Eagle", "Fargo", "Gamma", "Hotel"]
     rows = [(f"p{i}", "ocr_text", page(1, n, BODY) + "\n" + page(2, n, ["and it goes on."])) for i, n in enumerate(names * 3)]
-    rows += [("null", "ocr_text", None), ("empty", "text", ""), ("p0", "text", "plain line of text.")]
+    rows += [("null", "ocr_text", None), ("empty", "text", ""), ("p0", "text", "plain line of text."), ("more", "text", "open the va1ve.")]
     scanned = spark.createDataFrame([(i, f, t, 1) for i, f, t in rows], "id string, field_name string, text string, line_no int")
     clean = spark.createDataFrame([("the pump feeds the cooling loop and the valve stops the motor at night. A real-time clock rules here.",)] * 5 + [(None,)], "text string")
     return scanned, clean
@@ -26,8 +28,17 @@ def test_page_numbers_and_folding():
 
 
 def test_corrections():
-    assert "rules" in [w for w, _ in corrections("ru1es")] and ("limits", 1) in list(corrections("l!mits"))
-    assert "report" in [w for w, _ in corrections("rep0rt")] and "resultado" in [w for w, _ in corrections("resultaclo")]
+    usual = [("1", "l"), ("!", "i"), ("0", "o"), ("cl", "d")]
+    assert "rules" in [w for w, _ in corrections("ru1es", usual)] and ("limits", 1) in list(corrections("l!mits", usual))
+    assert "report" in [w for w, _ in corrections("rep0rt", usual)] and "resultado" in [w for w, _ in corrections("resultaclo", usual)]
+
+
+def test_confusions_are_learnt(spark):
+    right = ["valve", "motor", "cooling", "bearing", "pressure", "outlet", "sensor", "gateway", "schedule", "modern", "corner", "internal"]
+    wrong = [w.replace("o", "0") for w in right if "o" in w] + [w.replace("rn", "m") for w in right if "rn" in w] + ["kestanox", "brekuvane", "wexdolon"]
+    got = learnt_confusions(spark.createDataFrame([(w,) for w in wrong], "word string"), spark.createDataFrame([(w, 9) for w in right], "word string, n long"))
+    assert set(got) == {("0", "o"), ("m", "rn")}
+    assert learnt_confusions(spark.createDataFrame([], "word string"), spark.createDataFrame([], "word string, n long")) == []
 
 
 def test_decisions(tables):
@@ -52,4 +63,42 @@ def test_empty_tables(tables):
     scanned, clean = tables
     assert scan_decisions(scanned.limit(0), clean).count() == 0
     assert scan_decisions(scanned, clean.limit(0)).filter("kind = 'misread'").count() == 0
-    assert not any(Furniture(scanned.filter("text IS NOT NULL").limit(1)).marks(["some line of text"]))
+    assert not any(_Marks([(set(), set())]).marks(["some line of text"]))
+
+
+def test_numbers_of_the_content_stay():
+    marks = _Marks([(set(), set())]).marks
+    assert not any(marks(["Results by year", "2024", "were better than before", "The end"], 3))
+    assert not any(marks(["Table", "1500", "I", "III", "5", "of all"], 40))
+    assert [page_value(x) for x in ("Page 12 of 30", "[7]", "xiv", "p. 3")] == [("d", 12), ("d", 7), ("r", 14), ("d", 3)]
+    assert marks(["a b c.", "7", "goes on here."], 7) == [False, True, False]
+    assert in_sequence(["x", "11", "y", "1500", "z", "12"], [1, 3, 5], [False] * 6, None, ()) == {1, 5}
+
+
+def synthetic(n_docs, n_pages):
+    r, rows, truth, content = random.Random(5), [], set(), set()
+    words = "pump valve table module index vector cooling bearing panel cable gateway filter sensor record schedule".split()
+    for d in range(n_docs):
+        name = " ".join("".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(7)).capitalize() for _ in range(3))
+        first = r.randint(1, 300)
+        for p in range(1, n_pages + 1):
+            body = [" ".join(r.choice(words) for _ in range(9)) + r.choice(["", " and", "."]) for _ in range(12)]
+            header = name.replace("a", "o", 1) if r.random() < 0.15 else name
+            lines = [header, *body[:6], *(["Results by year", "1500", "were better"] if d % 5 == 0 else []), *body[6:], str(p + first)]
+            i = f"{d}-{p}"
+            truth |= {(i, 1), (i, len(lines))}
+            content |= {(i, 9)} if d % 5 == 0 else set()
+            rows.append((i, "ocr_text", f"doc{d}", p, "\n".join(lines)))
+    return rows, truth, content, " ".join(words)
+
+
+@pytest.mark.parametrize("n_docs", [20, 400])
+def test_headers_of_few_and_of_many_documents(spark, n_docs):
+    rows, truth, content, words = synthetic(n_docs, 10)
+    scanned = spark.createDataFrame(rows, "id string, field_name string, doc string, page int, text string")
+    clean = spark.createDataFrame([(words,)] * 3, "text string")
+    got = {(r["id"], r["line_no"]) for r in scan_decisions(scanned, clean).filter("kind = 'furniture'").collect()}
+    assert len(got & truth) >= 0.95 * len(truth) and not got & content
+    # Without documents lines that recur unchanged are still told.
+    got = {(r["id"], r["line_no"]) for r in scan_decisions(scanned.drop("doc", "page"), clean).filter("kind = 'furniture'").collect()}
+    assert sum(k in got for k in truth if k[1] == 1) >= 0.95 * len(truth) / 2
