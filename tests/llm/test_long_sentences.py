@@ -1,16 +1,16 @@
-"""Sentences with more possible ends inside than the first reach."""
+"""Sentences with many possible ends inside."""
 
 import random
 import time
 
 import pytest
 
-from corpusloom.llm.sentences import REACH, Lexicon, _Paragraph, split_sentences
+from corpusloom.llm.sentences import Lexicon, _Paragraph, split_sentences
 
 LEX = Lexicon()
 
 
-@pytest.mark.parametrize("n", [REACH - 5, REACH + 1, 60, 150])
+@pytest.mark.parametrize("n", [35, 41, 60, 150])
 @pytest.mark.parametrize("inner", [" .", " cf. x,"])
 def test_a_sentence_over_many_ends_stays_whole(n, inner):
     want = ["One stands before.", "The pump" + inner * n + " stops here.", "It ends."]

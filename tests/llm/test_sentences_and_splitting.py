@@ -52,7 +52,31 @@ def test_lexicon_and_table(spark):
     assert sentence_rows(df.limit(0), "chunk_id", "text").count() == 0
     many = spark.createDataFrame([("It is zzq. nine here. The pump ends.",)] * 80 + [("lower begins.",)] * 3, "text string")
     lex = collection_lexicon(many)
-    assert "zzq" in lex.closing_never and "ends" not in lex.closing_never and "lower" in lex.openers
+    assert lex.closing("zzq") < -3 and lex.closing("ends") == 2.0 and "lower" in lex.openers
+
+
+def test_abbreviations_are_learnt_and_unlearnt(spark):
+    rows = ["He met Gen. Grant there. They left.\n\nAnother ends here."] * 30 + ["The shop opens at 5 p.m. Tomorrow is fine.\n\nWe meet at 6 p.m."] * 80
+    lex = collection_lexicon(spark.createDataFrame([(t,) for t in rows], "text string"))
+    assert [("Use Gen. Grant.")[a:b] for a, b in split_sentences("Use Gen. Grant.", lex)] == ["Use Gen. Grant."]
+    text = "It ends at 5 p.m. Tomorrow is fine."
+    assert [text[a:b] for a, b in split_sentences(text, lex)] == ["It ends at 5 p.m.", "Tomorrow is fine."]
+    # The same shares tell the same in a larger collection.
+    assert lex.openers == collection_lexicon(spark.createDataFrame([(t,) for t in rows * 5], "text string")).openers == frozenset()
+
+
+@pytest.mark.parametrize("n", [1, 3, 5, 6, 20, 200])
+@pytest.mark.parametrize("left, right", ['""', "“”", "()", "«»", "„“"])
+def test_no_cut_inside_what_a_sentence_goes_on_around(n, left, right):
+    inner = " ".join(["The pump stops here."] * n)
+    want = ["One stands before.", f"He said {left}{inner}{right} and left.", "It ends."]
+    text = " ".join(want)
+    assert [text[a:b] for a, b in split_sentences(text, LEX)] == want
+
+
+def test_what_does_not_close_binds_nothing():
+    for text in ('The 5" pipe fits. It is long. A 6" pipe fits too. It ends.', "It is ( open. It ends here. No more.", "1) First it is. 2) Then that. It ends."):
+        assert len(split_sentences(text, LEX)) >= 3
 
 
 @settings(max_examples=150, deadline=None)
@@ -61,10 +85,24 @@ def test_pieces_fit_and_lose_nothing(parts, limit, overlap):
     text = "".join(parts)
     got = pieces(text, limit, overlap, LEX)
     assert "".join(text[p["first"] : p["end"]] for p in got) == text
-    assert all(n_tokens(text[p["shared"] : p["end"]]) == p["n_tokens"] <= limit for p in got)
+    assert all(n_tokens(text[p["shared"] : p["end"]]) == p["size"] <= limit for p in got)
     assert all(q["shared"] <= q["first"] for q in got)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab c.é́字 \n", max_size=80), st.integers(1, 9), st.integers(0, 2))
+def test_pieces_in_characters(text, limit, overlap):
+    got = pieces(text, limit, overlap, LEX, "characters")
+    assert "".join(text[p["first"] : p["end"]] for p in got) == text
+    assert all(p["end"] - p["shared"] == p["size"] <= limit for p in got)
+
+
+def test_characters_are_the_last_level():
+    got = pieces("short " + "x" * 25, 10, 0, LEX, "characters")
+    assert [p["level"] for p in got][:2] == [3, 4] and max(p["size"] for p in got) == 10
+    assert {p["level"] for p in pieces("word " * 9, 4, 0, LEX)} == {0, 3}
+
+
 def test_oversized_and_kinds(spark):
     chunks = spark.createDataFrame(
         [(1, "One two three. Four five six.", 1, 0), (2, "one two three four five six seven", 1, 0), (3, "short", 1, 0), (4, None, 1, 0), (5, "w " * 161, None, 0), (6, "", 9, 0), (7, "字" * 161, 2, 0)],
