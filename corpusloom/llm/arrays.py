@@ -33,8 +33,9 @@ def binary_column(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
 
-def attach(pairs: DataFrame, table: DataFrame, key: str, value: str, n_pairs: int) -> DataFrame:
-    """pairs (a, b, ...) with value_a and value_b from table (key unique). pairs is a written table of n_pairs rows.
+def attach(pairs: DataFrame, table: DataFrame, key: str, value: str, n_pairs: int, unique: bool = True) -> DataFrame:
+    """pairs (a, b, ...) with value_a and value_b from table. pairs is a written table of n_pairs rows. A key that is not unique gets
+    its least value, after the rows that no pair asks for are gone.
 
     Few pairs: their keys go to the table's rows, so the table is scanned and only matching rows move. Many: a shuffle join.
     """
@@ -42,6 +43,8 @@ def attach(pairs: DataFrame, table: DataFrame, key: str, value: str, n_pairs: in
     if n_pairs <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
     used = table.select(key, value).join(keys, key, "left_semi")
+    if not unique:
+        used = used.groupBy(key).agg(F.min(value).alias(value))
     for side in ("a", "b"):
         own = used.select(F.col(key).alias(side), F.col(value).alias(f"{value}_{side}"))
         pairs = pairs.join(own, side)

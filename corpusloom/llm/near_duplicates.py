@@ -7,6 +7,8 @@ normalisation are one text throughout, whatever their number, and are expanded a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,8 +22,10 @@ BINS, BAND = 512, 8
 BANDS = BINS // BAND
 #: Bins of which one byte is kept to weed candidates before their texts are fetched.
 SIGNATURE = 64
-#: Members of a band's bucket compared at a time.
-BLOCK = 1024
+#: Texts of a group of bands (a kilobyte each) that one task takes at a time, at the mean; and pairs it holds before they are made unique.
+GROUP_TEXTS, HELD_PAIRS = 20_000, 2_000_000
+#: Members that meet the next ones of their bucket at a time.
+STRETCH = 262_144
 
 
 def _kept_characters() -> np.ndarray:
@@ -163,45 +167,55 @@ def _spreading(parts: int):
     return run
 
 
-def bucket_pairs(rows: np.ndarray, ratio: float):
-    """Pairs of text ids that share a band key and whose sizes differ by no more than the ratio allows, a block at a time.
+def bucket_pairs(rows: np.ndarray, ratio: float, stretch: int = STRETCH):
+    """Pairs of text ids that share a band key and whose sizes differ by no more than the ratio allows, some at a time.
 
     rows: (key and size, text_id), any order. Members of a bucket are sorted by size; each meets the next ones while the ratio
-    holds, one offset after the other, so no bucket is expanded at once.
+    holds, one offset after the other, for one stretch of members after the other, so no bucket is expanded at once.
     """
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
     if len(rows) > 1:
         rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])]
     key, code, ids = rows[:, 0] >> np.uint64(16), (rows[:, 0] & np.uint64(0xFFFF)).astype(np.int64), rows[:, 1]
     reach = int(np.ceil(-np.log2(ratio) * 1024)) + 1
-    at, offset = np.arange(len(rows)), 1
-    while len(at):
-        at = at[at + offset < len(rows)]
-        other = at + offset
-        near = (key[at] == key[other]) & (code[other] - code[at] <= reach)
-        at, other = at[near], other[near]
-        a, b = ids[at], ids[other]
-        keep = a != b
-        yield np.minimum(a[keep].view(np.int64), b[keep].view(np.int64)), np.maximum(a[keep].view(np.int64), b[keep].view(np.int64))
-        offset += 1
+    for low in range(0, len(rows), stretch):
+        at, offset = np.arange(low, min(len(rows), low + stretch)), 1
+        while len(at):
+            at = at[at + offset < len(rows)]
+            other = at + offset
+            near = (key[at] == key[other]) & (code[other] - code[at] <= reach)
+            at, other = at[near], other[near]
+            a, b = ids[at], ids[other]
+            keep = a != b
+            yield np.minimum(a[keep].view(np.int64), b[keep].view(np.int64)), np.maximum(a[keep].view(np.int64), b[keep].view(np.int64))
+            offset += 1
 
 
 def _bucketing(ratio: float):
-    def run(key, table):
-        blobs = [x for x in table.column("data").to_pylist() if x]
+    """A group of bands -> its pairs, batch by batch; a pair may come again, and the caller makes them unique."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [x for batch in batches for x in batch.column("data").to_pylist() if x]
         rows = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, 2)
-        found = []
+        del blobs
+        found, held = [], 0
         for a, b in bucket_pairs(rows, ratio):
             if len(a):
                 found.append(np.stack([a, b], 1))
-            if sum(map(len, found)) > 2_000_000:
-                found = [np.unique(np.concatenate(found), axis=0)]
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+                held += len(a)
+            if held > HELD_PAIRS:
+                yield _pair_batch(found)
+                found, held = [], 0
+        yield _pair_batch(found)
 
     return run
 
 
+def _pair_batch(found: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
 def _sharing(least: float):
     """Pairs with signatures that agree in at least so many bins."""
 
@@ -258,13 +272,12 @@ class SimilarTexts:
     def __init__(self, rows: DataFrame, id_col: str, text_col: str, threshold: float, width: int = 5, least_chars: int = 40):
         if not 0.5 <= threshold <= 1:
             raise ValueError("the bands are made for thresholds from 0.5 on")
-        spark = rows.sparkSession
-        parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.rows = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).filter(
             F.col("id").isNotNull() & (F.length("text") >= least_chars)
         )
         self.width = width
         sketched = written(spread(self.rows.select("text")).mapInArrow(_sketching(width), "text_id long, record binary"), "sketches")
+        parts = max(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), sketched.count() // GROUP_TEXTS + 1)
         bands = sketched.mapInArrow(_spreading(parts), "part int, data binary")
         candidates = bands.groupBy("part").applyInArrow(_bucketing(threshold), "a long, b long").distinct()
         signatures = sketched.groupBy("text_id").agg(F.first(F.substring("record", 1, SIGNATURE)).alias("signature"))
@@ -276,7 +289,7 @@ class SimilarTexts:
         likely = written(pairs.select("a", "b", "signature_a", "signature_b").mapInArrow(_sharing(least), "a long, b long"), "likely")
         n = likely.count()
         with_ids = self.rows.mapInArrow(self._identified_text(), "text_id long, text string")
-        texts = attach(likely, with_ids.groupBy("text_id").agg(F.min("text").alias("text")) if n > 500_000 else with_ids, "text_id", "text", n)
+        texts = attach(likely, with_ids, "text_id", "text", n, unique=False)
         checked = texts.select("a", "b", "text_a", "text_b").mapInArrow(_verifying(width, threshold), "a long, b long, similarity double")
         self.links = written(checked.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "links")
         self.id_type = dict(self.rows.dtypes)["id"]

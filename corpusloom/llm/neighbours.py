@@ -18,6 +18,8 @@ from corpusloom.session import written
 
 #: Vectors of the sample that fits the cuts of the ranges (the only thing that is fitted; every vector is ordered).
 SAMPLE = 20_000
+#: Neighbours from a floor on that a vector keeps of each range.
+LEAST_KEPT = 32
 
 
 def hilbert_keys(x: np.ndarray, bits: int) -> np.ndarray:
@@ -123,9 +125,20 @@ def _ordering(curves: Curves, cuts: list[np.ndarray], dim: int, overlap: int, bo
     return run
 
 
+def _best_from(s: np.ndarray, floor: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the values from the floor on, in each row the `most` largest of them."""
+    x, y = np.nonzero(s >= floor)
+    full = np.flatnonzero(np.bincount(x, minlength=s.shape[0]) > most)
+    if len(full):
+        keep = ~np.isin(x, full)
+        best = np.argpartition(-s[full], most - 1, axis=1)[:, :most]
+        x, y = np.concatenate([x[keep], np.repeat(full, most)]), np.concatenate([y[keep], best.ravel()])
+    return x, y
+
+
 def _meeting(dim: int, window: int, k: int, floor: float | None):
-    """A range of a curve -> its pairs (a < b, cosine of the bytes): for each vector the k best it met in its window; with a floor
-    all pairs from there on, as only those can matter."""
+    """A range of a curve -> its pairs (a < b): for each vector the k best it met in its window; with a floor the best LEAST_KEPT or k
+    from there on, as only those can matter."""
 
     def run(key, table):
         rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), np.uint8).reshape(-1, 17 + dim)
@@ -143,7 +156,10 @@ def _meeting(dim: int, window: int, k: int, floor: float | None):
             i, j = np.arange(low, high)[:, None], np.arange(low, end)[None, :]
             s[(j <= i) | (j - i > window) | ~own[low:high, None]] = -2
             if floor is not None:
-                x, y = np.nonzero(s >= floor)
+                # Of a dense cluster only the nearest of each vector, on either side, can matter.
+                x, y = _best_from(s, floor, max(k, LEAST_KEPT))
+                y2, x2 = _best_from(s.T, floor, max(k, LEAST_KEPT))
+                x, y = np.concatenate([x, x2]), np.concatenate([y, y2])
             else:
                 best = min(k, s.shape[1])
                 y = np.argpartition(-s, best - 1, axis=1)[:, :best].ravel()
@@ -260,6 +276,52 @@ def similar_vectors(
     return ranked.filter(F.col("rank") <= k).select("id", "neighbour", "cosine", "rank")
 
 
+#: Vectors asked at a time by nearest_of: some megabytes for every task.
+ASKED_AT_ONCE = 8_192
+
+
+def nearest_of(rows: DataFrame, asked: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5) -> DataFrame:
+    """id, neighbour, cosine, rank (1..k) of the vectors of `asked` (same columns) against all rows, exactly: the way for vectors that
+    no curve brings together, as their nearest are hardly nearer than any other.
+
+    The asked ones are taken ASKED_AT_ONCE at a time, in order of a hash; each row is compared with all of a block in one matrix product where it is
+    read, and a batch of rows gives its own best k of each. Usable rows, ties and empty tables as in similar_vectors.
+    """
+    usable = lambda df: df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").alias("v")).filter(F.col("id").isNotNull() & (F.size("v") == dim))
+    every, asked = usable(rows), usable(asked)
+    kind = dict(every.dtypes)["id"]
+    blocks = max(1, -(-asked.count() * 5 // (ASKED_AT_ONCE * 4)))  # filled to four fifths at the mean
+    found = None
+    for block in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
+        at, unit = unit_rows(part.column("v"), dim)
+        ids = part.column("id").take(pa.array(at))
+        best = every.mapInArrow(_scanning(ids, unit, dim, k + 1), f"id {kind}, neighbour {kind}, cosine double")
+        best = best.filter("id <> neighbour")
+        best = best.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour"))).filter(F.col("rank") <= k)
+        found = best if found is None else found.unionByName(best)
+    return found
+
+
+def _scanning(ids: pa.Array, asked: np.ndarray, dim: int, k: int):
+    """(id, v) -> for each asked vector its k best of the batch, those as good as the last among them."""
+    names = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+
+    def run(batches):
+        for batch in batches:
+            at, unit = unit_rows(batch.column(1), dim)
+            for low in range(0, len(at), 2048):
+                s = asked @ unit[low : low + 2048].T
+                m = min(k, s.shape[1])
+                if not s.size:
+                    continue
+                edge = -np.partition(-s, m - 1, axis=1)[:, m - 1]
+                x, y = np.nonzero(s >= edge[:, None])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(x)), batch.column(0).take(pa.array(at[low + y])), pa.array(s[x, y])], ["id", "neighbour", "cosine"])
+
+    return run
+
+
 def _first_members(members: DataFrame, k: int) -> DataFrame:
     """vec_id, first: its k least ids. Copies in excess of k are never needed as neighbours; each still is asked for its own."""
     salted = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
