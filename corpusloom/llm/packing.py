@@ -22,8 +22,10 @@ from corpusloom.session import spread, written
 TOKENIZERS = "/opt/tokenizers"
 RANKS = "byte_bpe_multi_50k.tiktoken"
 CAPACITY = 512
-#: Groups in which texts of one size are ranked; a size may hold most of the rows.
-SALTS = 64
+#: Texts of one size that are ranked in one group, at the mean: there are as many groups as the rows ask for.
+RANKED_AT_ONCE = 200_000
+#: Sizes that patterns of three are made of, at most; where a collection has more, those that most tokens are in take part.
+PATTERN_SIZES = 512
 
 
 def load_encoding(folder: str = TOKENIZERS, ranks: str = RANKS):
@@ -62,13 +64,16 @@ def _sizing(folder: str, ranks: str, capacity: int):
     return run
 
 
-def patterns(capacity: int, sizes: np.ndarray) -> list[np.ndarray]:
-    """Patterns of one, two and three of the sizes (non-decreasing) that fill the capacity exactly, as arrays with a column per item."""
+def patterns(capacity: int, sizes: np.ndarray, often: np.ndarray | None = None) -> list[np.ndarray]:
+    """Patterns of one, two and three of the sizes (non-decreasing) that fill the capacity exactly, as arrays with a column per item.
+    often: the only sizes of which the two smaller of three may be, so that there are no more than their number squared."""
     have = np.zeros(capacity + 1, bool)
     have[sizes[(sizes > 0) & (sizes <= capacity)]] = True
     s = np.flatnonzero(have)
     one = np.array([[capacity]]) if have[capacity] else np.zeros((0, 1), int)
     two = np.array([[a, capacity - a] for a in s if a * 2 <= capacity and have[capacity - a]]).reshape(-1, 2)
+    if often is not None:
+        s = s[np.isin(s, often)]
     a, b = np.meshgrid(s, s, indexing="ij")
     c = capacity - a - b
     good = (a <= b) & (b <= c) & (c > 0)
@@ -123,7 +128,9 @@ def plan_packs(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int
         left[size] += n
     left[0] = 0
     plan: list[tuple[tuple[int, ...], int]] = []
-    groups = patterns(capacity, np.flatnonzero(left))
+    sizes = np.flatnonzero(left)
+    often = sizes[np.argsort(-(left * np.arange(capacity + 1))[sizes], kind="stable")[:PATTERN_SIZES]] if len(sizes) > PATTERN_SIZES else None
+    groups = patterns(capacity, sizes, often)
     repeats = fit_repeats(groups, left.astype(float))
     ranked = sorted(((x, tuple(int(v) for v in p)) for g, xs in zip(groups, repeats) for p, x in zip(g, xs) if x > 0.5), reverse=True)
     for x, p in ranked:
@@ -197,17 +204,36 @@ def pack_texts(texts: DataFrame, id_col: str, text_col: str, capacity: int = CAP
     rows = texts.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).filter(F.col("text").isNotNull())
     kind = dict(rows.dtypes)["id"]
     sized = spread(rows).mapInArrow(_sizing(folder, ranks, capacity), f"id {kind}, part_no int, first_token long, n_tokens int")
-    sized = written(sized.withColumn("salt", F.pmod(F.xxhash64("id", "part_no"), F.lit(SALTS)).cast("int")), "sizes")
-    counts = sized.groupBy("n_tokens", "salt").agg(F.count("*").alias("n")).collect()
-    histogram: dict[int, int] = {}
-    offsets = []
-    for r in sorted(counts, key=lambda r: (r["n_tokens"], r["salt"])):
-        offsets.append((r["n_tokens"], r["salt"], histogram.get(r["n_tokens"], 0)))
-        histogram[r["n_tokens"]] = histogram.get(r["n_tokens"], 0) + r["n"]
-    places = _places(plan_packs(histogram, capacity))
-    spark = texts.sparkSession
-    before = spark.createDataFrame(offsets, "n_tokens int, salt int, before long")  # at most SALTS x capacity rows
-    w = Window.partitionBy("n_tokens", "salt").orderBy("id", "part_no")
-    ranked = sized.withColumn("r", F.row_number().over(w) - 1).join(F.broadcast(before), ["n_tokens", "salt"])
+    sized = written(sized, "sizes")
+    # Parts of just the capacity fill a sequence each and need no rank; the others of one size are ranked in groups whose number
+    # follows that of the rows.
+    rest = sized.filter(F.col("n_tokens") < capacity)
+    most = rest.groupBy("n_tokens").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    salts = max(1, most // RANKED_AT_ONCE + 1)
+    rest = rest.withColumn("salt", F.pmod(F.xxhash64("id", "part_no"), F.lit(salts)).cast("int"))
+    w = Window.partitionBy("n_tokens", "salt")
+    counts = rest.groupBy("n_tokens", "salt").agg(F.count("*").alias("n"))
+    # A row for each size and group, numbered over the groups of a size: its own small table, joined by size and group.
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    histogram = {r["n_tokens"]: r["n"] for r in counts.groupBy("n_tokens").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
+    plan = plan_packs(histogram, capacity)
+    places = _places(plan)
+    first_full = sum(n for _, n in plan)
+    ranked = rest.withColumn("r", F.row_number().over(w.orderBy("id", "part_no")) - 1).join(before, ["n_tokens", "salt"])
     ranked = ranked.select("id", "part_no", "first_token", "n_tokens", (F.col("before") + F.col("r")).alias("rank"))
-    return ranked.mapInArrow(_placing(places), f"id {kind}, part_no int, first_token long, n_tokens int, sequence_id long, slot int")
+    placed = ranked.mapInArrow(_placing(places), f"id {kind}, part_no int, first_token long, n_tokens int, sequence_id long, slot int")
+    return placed.unionByName(_numbered(sized.filter(F.col("n_tokens") == capacity), first_full))
+
+
+def _numbered(full: DataFrame, first: int) -> DataFrame:
+    """Parts that fill a sequence each, numbered from `first` without a gap: within groups of their hash, and the groups by their counts."""
+    groups = max(1, full.count() // RANKED_AT_ONCE + 1)
+    full = full.withColumn("salt", F.pmod(F.xxhash64("id", "part_no"), F.lit(groups)).cast("int"))
+    counts = sorted(full.groupBy("salt").agg(F.count("*").alias("n")).collect())  # one row for RANKED_AT_ONCE rows
+    at, offsets = first, {}
+    for r in counts:
+        offsets[r["salt"]], at = at, at + r["n"]
+    before = full.sparkSession.createDataFrame(list(offsets.items()), "salt int, before long")
+    r = F.row_number().over(Window.partitionBy("salt").orderBy("id", "part_no")) - 1
+    numbered = full.withColumn("r", r).join(before, "salt")
+    return numbered.select("id", "part_no", "first_token", "n_tokens", (F.col("before") + F.col("r")).cast("long").alias("sequence_id"), F.lit(0).alias("slot"))

@@ -57,3 +57,28 @@ def test_table(spark):
     assert pack_texts(df.limit(0), "doc_id", "text").count() == 0
     with pytest.raises(ValueError):
         pack_texts(df, "doc_id", "text", capacity=0)
+
+
+def test_long_sequences_are_planned_in_bounds():
+    import resource
+
+    rng = np.random.default_rng(1)
+    sizes, counts = np.unique(np.minimum(4095, rng.lognormal(6.3, 1.0, 200_000).astype(int) + 1), return_counts=True)
+    plan = plan_packs(dict(zip(sizes.tolist(), counts.tolist())), 4096)
+    n, tokens = sum(k for _, k in plan), int((sizes * counts).sum())
+    assert tokens / (n * 4096) > 0.97
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 1_500_000
+
+
+@pytest.mark.skipif(not __import__("os").path.exists(TOKENIZERS), reason="no tokenizers here")
+def test_one_size_holds_most_rows(spark, monkeypatch):
+    import corpusloom.llm.packing as P
+
+    monkeypatch.setattr(P, "RANKED_AT_ONCE", 7)
+    df = spark.createDataFrame([(i, "a b c" if i % 3 else "word " * 40) for i in range(120)], "doc_id long, text string")
+    got = pack_texts(df, "doc_id", "text", capacity=8).collect()
+    used = collections.Counter()
+    for r in got:
+        used[r["sequence_id"]] += r["n_tokens"]
+    assert max(used.values()) == 8 and sorted(used) == list(range(len(used)))
+    assert len({(r["sequence_id"], r["slot"]) for r in got}) == len(got)
