@@ -45,7 +45,7 @@ def test_against_brute_force(spark, monkeypatch):
         got = leaked_items(d, i, width=width)
         assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
         with monkeypatch.context() as m:
-            m.setattr(leakage, "MOST_WINDOWS", 0)  # the way of many windows
+            m.setattr(leakage, "MOST_WORDS", 0)  # the way of many windows
             assert {(r["doc_id"], r["item_id"]) for r in leaked_items(d, i, width=width).collect()} == want
 
 
