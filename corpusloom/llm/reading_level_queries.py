@@ -4,13 +4,13 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.language_queries import language_models
 from corpusloom.llm.languages import detect_languages
-from corpusloom.llm.reading_levels import LevelModel, graded_sample, reading_levels
+from corpusloom.llm.reading_levels import graded_sample, reading_levels, trained
 from corpusloom.session import read_table
 
 
 def _levels(spark, d):
     documents = read_table(spark, d, "documents")
-    model = LevelModel(graded_sample(documents, read_table(spark, d, "level_labels")))
+    model = trained(spark, graded_sample(documents, read_table(spark, d, "level_labels")))
     found = detect_languages(documents.select(F.col("doc_id").cast("string").alias("key"), "text"), language_models(spark, d), text=True)
     only = found.filter((F.col("lang") == "en") & F.forall("segments", lambda s: s["lang"] == "en"))
     return reading_levels(only.select(F.col("key").cast("long").alias("doc_id"), "text"), model)

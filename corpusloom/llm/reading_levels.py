@@ -1,19 +1,21 @@
 """Reading level of documents (problem 10).
 
 Interpolated n-gram models of easy, middle and hard sentences are trained on graded documents: sentences begin with their
-document's grade and move, round by round, to the model that needs the fewest bits for them. A document's surprisals under the
-models, over all its sentences, give how often each kind of sentence occurs; the grade expected from that distribution is the
-document's difficulty, which isotonic regression maps to the graders' scale.
+document's grade and move, round by round, to the model that needs the fewest bits for them. Every grade has its mixture of the kinds;
+the surprisals of all sentences of a document under the mixtures say how likely each grade is, and the grade expected from them is the
+document's difficulty, which isotonic regression maps to the graders' scale. The full model and those of the folds that the map is
+fitted on are trained side by side, each in a task of its own.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.arrays import mix64
@@ -21,6 +23,9 @@ from corpusloom.llm.arrays import mix64
 GRADES = (1, 2, 3)
 #: Graded documents that are fitted, at most.
 LABELLED = 2000
+#: Texts of which surprisals are held at a time.
+SLICE = 200
+FOLDS = 4
 ROUNDS = 4
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*|[,;:]")
 _CUT = re.compile(r"\n+|(?<=[.!?])\s+")
@@ -117,7 +122,7 @@ class LevelModel:
     """Models of the kinds of sentences, how often each grade has them, and the monotone map to grades. The map is fitted on
     difficulties that models trained without the document give it."""
 
-    def __init__(self, graded: list[tuple[str, int]], folds: int = 4):
+    def __init__(self, graded: list[tuple[str, int]], folds: int = FOLDS):
         docs = [(sentences(t), GRADES.index(g)) for t, g in graded]
         docs = [(s, g) for s, g in docs if s]
         seen: dict[str, int] = {}
@@ -141,27 +146,27 @@ class LevelModel:
         self.mix = counts / counts.sum(axis=1, keepdims=True)
         self.knots = (np.array([1.0, 3.0]), np.array([1.0, 3.0]))
         if folds and len(graded) >= 10 * folds:
-            # Equal texts stay in one fold.
-            fold = [mix_text(t) % folds for t, _ in graded]
-            scores, levels = [], []
-            for f in range(folds):
-                rest = LevelModel([x for x, k in zip(graded, fold) if k != f], folds=0)
-                mine = [x for x, k in zip(graded, fold) if k == f]
-                scores += [x[0] for x in rest.levels([t for t, _ in mine])]
-                levels += [g for _, g in mine]
-            if len(set(levels)) > 1:
-                self.knots = isotonic(np.array(scores), np.array(levels, float))
-
-    def _expected(self, kinds: np.ndarray) -> float:
-        log = (np.log(self.mix) * np.bincount(kinds, minlength=len(GRADES))[None, :]).sum(axis=1)
-        p = np.exp(log - log.max())
+            self.fit_map([held_out(graded, f, folds) for f in range(folds)])
+
+    def fit_map(self, folds: list[list[tuple[float, int]]]) -> None:
+        """The monotone map from (difficulty, grade) of documents that their difficulty's model has not seen."""
+        scores, levels = (np.array([x[k] for f in folds for x in f], float) for k in (0, 1))
+        if len(set(levels.tolist())) > 1:
+            self.knots = isotonic(scores, levels)
+
+    def _expected(self, bits: np.ndarray) -> float:
+        """The grade to expect from the surprisals (a row for each sentence, a column for each kind) of a document."""
+        log = np.log2(self.mix)[None, :, :] - bits[:, None, :]
+        most = log.max(axis=2)
+        total = (most + np.log2(np.exp2(log - most[:, :, None]).sum(axis=2))).sum(axis=0)
+        p = np.exp2(total - total.max())
         return float((p * np.array(GRADES)).sum() / p.sum())
 
-    def _difficulty(self, sents: list[list[str]]) -> float:
-        return self._expected(self.models.bits(sents).argmin(axis=1))
-
     def levels(self, texts: list[str]) -> list[tuple[float, int, float]]:
         """(difficulty, grade, mean bits per word under the model that fits best) of each text."""
+        return [x for low in range(0, len(texts), SLICE) for x in self._levels(texts[low : low + SLICE])]
+
+    def _levels(self, texts: list[str]) -> list[tuple[float, int, float]]:
         parts = [sentences(t) for t in texts]
         bits = self.models.bits([s for p in parts for s in p])
         words = np.array([len(s) for p in parts for s in p], float)
@@ -169,12 +174,39 @@ class LevelModel:
         for p in parts:
             b, w = bits[low : low + len(p)], words[low : low + len(p)]
             low += len(p)
-            score = self._expected(b.argmin(axis=1)) if len(p) else float(GRADES[0])
+            score = self._expected(b) if len(p) else float(GRADES[0])
             level = float(np.interp(score, *self.knots))
             out.append((score, int(np.clip(np.floor(level + 0.5), GRADES[0], GRADES[-1])), float(b.min(axis=1).sum() / w.sum()) if len(p) else 0.0))
         return out
 
 
+def held_out(graded: list[tuple[str, int]], fold: int, folds: int) -> list[tuple[float, int]]:
+    """(difficulty, grade) of a fold's documents by a model of the others; equal texts are in one fold."""
+    of = [mix_text(t) % folds for t, _ in graded]
+    rest = LevelModel([x for x, k in zip(graded, of) if k != fold], folds=0)
+    mine = [x for x, k in zip(graded, of) if k == fold]
+    return [(x[0], g) for x, (_, g) in zip(rest.levels([t for t, _ in mine]), mine)]
+
+
+def trained(spark: SparkSession, graded: list[tuple[str, int]], folds: int = FOLDS) -> LevelModel:
+    """LevelModel(graded), with the model and each fold trained in tasks of their own. graded is bounded (see graded_sample)."""
+    if len(graded) < 10 * folds:
+        return LevelModel(graded, folds)
+    sent = spark.sparkContext.broadcast(graded)
+
+    def train(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                made = LevelModel(sent.value, folds=0) if k == folds else held_out(sent.value, k, folds)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([pickle.dumps(made)], pa.binary())], ["fold", "made"])
+
+    rows = spark.range(0, folds + 1, 1, folds + 1).mapInArrow(train, "fold long, made binary").collect()
+    made = {r["fold"]: pickle.loads(r["made"]) for r in rows}
+    model = made.pop(folds)
+    model.fit_map([made[k] for k in sorted(made)])
+    return model
+
+
 def mix_text(text: str) -> int:
     return int(mix64(np.array([zlib.crc32(text.encode("utf-8", "replace"))], np.uint64))[0] >> np.uint64(8))
 
