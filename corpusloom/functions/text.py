@@ -93,18 +93,26 @@ def overlap_text(t: Column) -> Column:
     return strip_accents(intent_text(t))
 
 
+def words_of_overlap(plain: Column) -> Column:
+    """Distinct words of more than one byte of an overlap_text."""
+    return F.array_distinct(F.filter(F.split(plain, " "), lambda x: F.octet_length(x) > 1))
+
+
 def token_set(t: Column) -> Column:
     """Distinct words of more than one byte."""
-    return F.array_distinct(F.filter(F.split(overlap_text(t), " "), lambda x: F.octet_length(x) > 1))
+    return words_of_overlap(overlap_text(t))
 
 
-def overlap_ratio(a: Column, b: Column) -> Column:
-    """Shared words over the smaller set's size; 0 if either is empty."""
-    x, y = token_set(a), token_set(b)
+def ratio_of_words(x: Column, y: Column) -> Column:
     least = F.least(F.size(x), F.size(y))
     return F.when(least > 0, F.size(F.array_intersect(x, y)) / least).otherwise(F.lit(0.0))
 
 
+def overlap_ratio(a: Column, b: Column) -> Column:
+    """Shared words over the smaller set's size; 0 if either is empty."""
+    return ratio_of_words(token_set(a), token_set(b))
+
+
 def preview(t: Column, most: int = 220) -> Column:
     """The trimmed text, cut to `most` characters and '...' where longer. Characters, not bytes, so none is ever torn."""
     s = F.regexp_replace(t, r"(?U)^\s+|\s+$", "")

@@ -211,43 +211,58 @@ def overlap_sentences(chunks: list[Chunk], n: int) -> list[Chunk]:
     return out
 
 
-def chunk_text(text: str, c: ChunkConfig, embed: Callable[[list[str]], np.ndarray]) -> tuple[list[Chunk], dict[str, int]]:
-    """The whole way of one document: units, vectors, merge, repair, split, overlap."""
-    chunks, counts = parse_document(text, c)
-    if chunks:
-        for x, v in zip(chunks, embed([x.text for x in chunks])):
+#: Texts that a model gets at a time.
+EMBEDDED_AT_ONCE = 2048
+
+
+def chunk_texts(texts: list[str], c: ChunkConfig, embed: Callable[[list[str]], np.ndarray]) -> list[list[Chunk]]:
+    """The whole way of documents: units, vectors (of all documents together), merge, repair, split, overlap."""
+    parsed = [parse_document(t, c)[0] for t in texts]
+    flat = [x for chunks in parsed for x in chunks]
+    for low in range(0, len(flat), EMBEDDED_AT_ONCE):
+        some = flat[low : low + EMBEDDED_AT_ONCE]
+        for x, v in zip(some, embed([x.text for x in some])):
             x.vector = v
-    kept, _, _ = valid_vectors(chunks)
-    return overlap_sentences(split_long(repair_short(merge_similar(kept, c), c), c), c.overlap), counts
+    return [overlap_sentences(split_long(repair_short(merge_similar(valid_vectors(chunks)[0], c), c), c), c.overlap) for chunks in parsed]
+
+
+def chunk_text(text: str, c: ChunkConfig, embed: Callable[[list[str]], np.ndarray]) -> tuple[list[Chunk], dict[str, int]]:
+    """Chunks of one document, and the counts of its units."""
+    return chunk_texts([text], c, embed)[0], parse_document(text, c)[1]
 
 
 def _chunking(c: ChunkConfig, embed):
     def run(batches):
         for batch in batches:
             at, index, texts, images, vectors = [], [], [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                for k, x in enumerate(chunk_text(t or "", c, embed)[0]):
+            for i, chunks in enumerate(chunk_texts([t or "" for t in batch.column(1).to_pylist()], c, embed)):
+                for k, x in enumerate(chunks):
                     at.append(i)
                     index.append(k)
                     texts.append(x.text)
                     images.append(x.images)
                     vectors.append(np.asarray(x.vector, np.float32))
+            take = pa.array(at, pa.int64())
+            kept = [batch.column(n).take(take) for n in range(2, batch.num_columns)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(at, pa.int64())), pa.array(index, pa.int32()), pa.array(texts, pa.string()), pa.array(images, pa.list_(pa.string())),
-                    pa.array(vectors, pa.list_(pa.float32())), pa.array([n_tokens(t) for t in texts], pa.int32()),
+                    batch.column(0).take(take), pa.array(index, pa.int32()), pa.array(texts, pa.string()), pa.array(images, pa.list_(pa.string())),
+                    pa.array(vectors, pa.list_(pa.float32())), pa.array([n_tokens(t) for t in texts], pa.int32()), *kept,
                 ],
-                ["doc_id", "chunk_index", "text", "image_paths", "vector", "n_tokens"],
+                ["doc_id", "chunk_index", "text", "image_paths", "vector", "n_tokens", *batch.schema.names[2:]],
             )
 
     return run
 
 
-def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: ChunkConfig | None = None, embed: Callable | None = None) -> DataFrame:
-    """doc_id, chunk_index (from 0), text, image_paths, vector, n_tokens. Null and blank texts give no chunk."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, chunk_index int, text string, image_paths array<string>, vector array<float>, n_tokens int"
+def chunk_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: ChunkConfig | None = None, embed: Callable | None = None, keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """doc_id, chunk_index (from 0), text, image_paths, vector, n_tokens, and the columns `keep` of the document. Null and blank texts
+    give no chunk."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`") for c in keep])
+    kinds = dict(rows.dtypes)
+    schema = f"doc_id {kinds['doc_id']}, chunk_index int, text string, image_paths array<string>, vector array<float>, n_tokens int" + "".join(f", `{c}` {kinds[c]}" for c in keep)
     return spread(rows).mapInArrow(_chunking((config or ChunkConfig()).effective(), embed or hash_embedding), schema)
 
 

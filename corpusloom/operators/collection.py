@@ -124,17 +124,23 @@ class Collections:
         new = F.xxhash64("doc_id", "chunk_index").cast("string") if deterministic else F.uuid()
         self.upsert(name, points.withColumn("id", new))
 
-    def rows(self, name: str) -> DataFrame:
-        """The live rows."""
+    def rows(self, name: str, among: tuple[str, DataFrame] | None = None) -> DataFrame:
+        """The live rows. among: a column and its wanted values (one column); then only rows that have, or had, one of them are merged."""
         self.schema(name)
         if not self._runs(name):
             return self.spark.createDataFrame([], T.StructType([T.StructField("id", T.StringType())]))
         runs = self._runs(name)
         if len(runs) == 1:  # ids are unique within a run
-            return self.spark.read.parquet(self._at(name, f"run={runs[0]}")).filter(~F.col("gone")).select("id", "item.*")
+            live = self.spark.read.parquet(self._at(name, f"run={runs[0]}")).filter(~F.col("gone")).select("id", "item.*")
+            return live.join(among[1].toDF(among[0]), among[0], "left_semi") if among else live
         every = self.spark.read.option("basePath", self._at(name)).option("mergeSchema", "true").parquet(*[self._at(name, f"run={k}") for k in runs])
+        if among:
+            wanted = among[1].toDF("__value")
+            ids = every.select("id", F.col(f"item.{among[0]}").alias("__value")).join(wanted, "__value", "left_semi").select("id").distinct()
+            every = every.join(ids, "id", "left_semi")
         latest = every.groupBy("id").agg(F.max_by(F.struct("item", "gone"), "run").alias("x"))
-        return latest.filter(~F.col("x.gone")).select("id", "x.item.*")
+        live = latest.filter(~F.col("x.gone")).select("id", "x.item.*")
+        return live.join(among[1].toDF(among[0]), among[0], "left_semi") if among else live
 
     def _tombs(self, name: str, ids: DataFrame) -> None:
         first = self.spark.read.parquet(self._at(name, f"run={self._runs(name)[0]}")).schema["item"].dataType

@@ -27,21 +27,23 @@ def last_assistant(turns: DataFrame, keys: list[str], turn: str = "turn", role:
     return said.groupBy(*keys).agg(F.max_by(T.blank_to_null(F.col(text)), turn).alias("last_assistant"))
 
 
-def answer_verdict(raw: Column, post: Column, last: Column) -> Column:
-    """Why a rewritten answer is refused, or 'accepted'."""
-    p = F.coalesce(T.blank_to_null(post), F.lit(""))
+def judged_answers(rows: DataFrame, raw: str = "raw", post: str = "post", last: str = "last") -> DataFrame:
+    """rows with reason: why a rewritten answer is refused, or 'accepted'. Each text is normalised once, and its words are taken once."""
+    made = rows.withColumn("__post", F.coalesce(T.blank_to_null(F.col(post)), F.lit(""))).withColumn("__plain", T.overlap_text(F.col("__post")))
+    made = made.withColumn("__words", T.words_of_overlap(F.col("__plain"))).withColumn("__raw", T.words_of_overlap(T.overlap_text(F.coalesce(raw, F.lit("")))))
     generic = F.lit(False)
     for g in T.GENERIC_REPLIES:
-        generic = generic | T.overlap_text(p).contains(g)
-    before = T.blank_to_null(last)
-    return (
+        generic = generic | F.col("__plain").contains(g)
+    p, before = F.col("__post"), T.blank_to_null(F.col(last))
+    reason = (
         F.when(p == "", "empty_postprocess")
         .when(T.token_count(p) < 4, "too_short")
         .when(generic, "generic_reply")
         .when(F.coalesce(F.lower(before) == F.lower(p), F.lit(False)), "duplicate_last_assistant")
-        .when(T.overlap_ratio(F.coalesce(raw, F.lit("")), p) < ANSWER_OVERLAP, "low_overlap_with_raw_answer")
+        .when(T.ratio_of_words(F.col("__raw"), F.col("__words")) < ANSWER_OVERLAP, "low_overlap_with_raw_answer")
         .otherwise("accepted")
     )
+    return made.withColumn("reason", reason).drop("__post", "__plain", "__words", "__raw")
 
 
 def final_answer(raw: Column, post: Column, verdict: Column) -> Column:

@@ -22,9 +22,8 @@ def batch_size(asked: int | None, configured: int | None = None) -> int:
 def points_of_documents(docs: DataFrame, config: ChunkConfig | None = None, images: DataFrame | None = None, embed=None) -> DataFrame:
     """docs (doc_id, text, lang, source_path) -> points. The id is a hash of document and chunk number, so ingesting again overwrites.
     images: image_path, image_vector, joined by each chunk's first image; chunks whose image has none keep their text vector."""
-    chunks = chunk_documents(docs, "doc_id", "text", config, embed)
-    facts = docs.select("doc_id", "lang", "source_path").dropDuplicates(["doc_id"])
-    p = chunks.join(facts, "doc_id").withColumn("image_path", F.try_element_at("image_paths", F.lit(1)))
+    chunks = chunk_documents(docs, "doc_id", "text", config, embed, keep=("lang", "source_path"))
+    p = chunks.withColumn("image_path", F.try_element_at("image_paths", F.lit(1)))
     if images is not None:
         p = p.join(images.select("image_path", F.col("image_vector").alias("image_dense")), "image_path", "left")
     else:
@@ -47,8 +46,8 @@ def ingest(docs: DataFrame, collections: Collections, name: str, config: ChunkCo
     documents that were asked for: verified means that the collection now holds points of it."""
     collections.ensure(CollectionSchema(name, [VectorConfig("text_dense", dim), VectorConfig("image_dense", dim)]))
     collections.upsert(name, points_of_documents(docs, config))
-    there = collections.rows(name).groupBy("doc_id").agg(F.count("*").alias("n"))
     asked = docs.select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
+    there = collections.rows(name, ("doc_id", asked)).groupBy("doc_id").agg(F.count("*").alias("n"))
     n = F.coalesce("n", F.lit(0))
     return asked.join(there, "doc_id", "left").select("doc_id", n.alias("n_points"), (n > 0).alias("verified"))
 

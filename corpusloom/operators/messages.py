@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import blank_to_null
@@ -63,12 +63,26 @@ def output_schema(fields: dict[str, str] | None) -> dict | None:
 
 def first_replies(requests: DataFrame, replies: DataFrame, seconds: int = 90) -> DataFrame:
     """Requests (cid, asked_at, ...) with their first reply (cid, replied_at, status) within the deadline, and what became of them:
-    ok, failed, or timeout. Of equal times the status decides, by name."""
-    r = replies.select("cid", "replied_at", F.lower(F.trim("status")).alias("status"))
-    j = requests.join(r, (requests.cid == r.cid) & (r.replied_at >= requests.asked_at) & (r.replied_at <= requests.asked_at + F.make_dt_interval(secs=F.lit(float(seconds)))), "left").drop(r.cid)
-    first = j.groupBy(*requests.columns).agg(F.min(F.struct("replied_at", "status")).alias("m"), F.count("replied_at").alias("n_replies"))
-    outcome = F.when(F.col("n_replies") == 0, "timeout").when(F.col("m.status") == "failed", "failed").otherwise("ok")
-    return first.select(*requests.columns, F.when(F.col("n_replies") > 0, F.col("m.replied_at")).alias("replied_at"), outcome.alias("outcome"))
+    ok, failed, or timeout. Of equal times the status decides, by name; null cids match nothing.
+
+    Time is cut into stretches as long as the deadline, and requests and replies of a cid and stretch stand in one sequence: a request's
+    first reply follows it there, or is the first of the next stretch. So no request meets all replies, and a hot cid is many groups.
+    """
+    stretch = lambda c: F.floor(F.unix_micros(c) / F.lit(seconds * 1_000_000)).cast("long")
+    r = replies.filter("cid IS NOT NULL AND replied_at IS NOT NULL").select("cid", "replied_at", F.lower(F.trim("status")).alias("status"))
+    r = r.groupBy("cid", "replied_at").agg(F.min("status").alias("status"))
+    reply = F.struct("replied_at", "status")
+    asked = requests.select("cid", F.col("asked_at").alias("__at"), stretch("asked_at").alias("__stretch"), F.struct(*requests.columns).alias("__request"), F.lit(None).cast("struct<replied_at:timestamp,status:string>").alias("__reply"))
+    told = r.select("cid", F.col("replied_at").alias("__at"), stretch("replied_at").alias("__stretch"), F.lit(None).cast(asked.schema["__request"].dataType).alias("__request"), reply.alias("__reply"))
+    # From the last to the first; at the same time replies come before requests, which may have them.
+    w = Window.partitionBy("cid", "__stretch").orderBy(F.desc("__at"), F.col("__request").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = asked.unionByName(told).withColumn("__next", F.last("__reply", ignorenulls=True).over(w)).filter(F.col("__request").isNotNull())
+    first = r.groupBy("cid", (stretch("replied_at") - 1).alias("__stretch")).agg(F.min(reply).alias("__later"))
+    met = met.join(first, ["cid", "__stretch"], "left").withColumn("m", F.when(F.col("cid").isNotNull(), F.coalesce("__next", "__later")))
+    late = F.col("m.replied_at") > F.col("__at") + F.make_dt_interval(secs=F.lit(float(seconds)))
+    met = met.withColumn("m", F.when(~late, F.col("m")))
+    outcome = F.when(F.col("m").isNull(), "timeout").when(F.col("m.status") == "failed", "failed").otherwise("ok")
+    return met.select("__request.*", F.col("m.replied_at").alias("replied_at"), outcome.alias("outcome"))
 
 
 def sessions(events: DataFrame, user: str, ts: str, ttl_minutes: int = 30) -> DataFrame:

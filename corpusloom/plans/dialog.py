@@ -36,14 +36,13 @@ def last_assistant_message(spark, d):
 
 
 def accept_post(spark, d):
-    """A turn's answer against the turn before: blank, short, generic, repeated and unrelated ones are told apart."""
+    """A document's text as the raw answer and several rewritten ones: blank, short, generic, repeated, unrelated ones and the whole text."""
     docs = read_table(spark, d, "documents")
     k = F.col("doc_id") % 6
-    post = (F.when(k == 0, F.lit(" ")).when(k == 1, F.substring("text", 1, 12)).when(k == 2, F.concat(F.lit("Xin chào, "), "text"))
-            .when(k == 3, F.upper("title")).when(k == 4, F.lit("zq1 zq2 zq3 zq4")).otherwise(F.substring("text", 1, 80)))
+    post = (F.when(k == 0, F.lit(" ")).when(k == 1, F.concat(F.lit("see "), "source")).when(k == 2, F.concat(F.lit("Xin chào, "), "text"))
+            .when(k == 3, F.upper("title")).when(k == 4, F.lit("zq1 zq2 zq3 zq4")).otherwise(F.col("text")))
     rows = docs.filter("text IS NOT NULL").select("doc_id", F.col("text").alias("raw"), post.alias("post"), F.col("title").alias("last"))
-    verdict = D.answer_verdict(F.col("raw"), F.col("post"), F.col("last"))
-    return rows.select("doc_id", verdict.alias("reason"), F.md5(D.final_answer(F.col("raw"), F.col("post"), verdict)).alias("answer"))
+    return D.judged_answers(rows).select("doc_id", "reason", F.md5(D.final_answer(F.col("raw"), F.col("post"), F.col("reason"))).alias("answer"))
 
 
 def _hits(spark, d):
@@ -102,7 +101,7 @@ def _ratio(a, b):
     return f"(CASE WHEN least(len({x}), len({y})) > 0 THEN CAST(len(list_intersect({x}, {y})) AS DOUBLE) / least(len({x}), len({y})) ELSE 0 END)"
 
 
-_POST = """CASE doc_id % 6 WHEN 0 THEN ' ' WHEN 1 THEN substring(text, 1, 12) WHEN 2 THEN 'Xin chào, ' || text WHEN 3 THEN upper(title) WHEN 4 THEN 'zq1 zq2 zq3 zq4' ELSE substring(text, 1, 80) END"""
+_POST = """CASE doc_id % 6 WHEN 0 THEN ' ' WHEN 1 THEN 'see ' || source WHEN 2 THEN 'Xin chào, ' || text WHEN 3 THEN upper(title) WHEN 4 THEN 'zq1 zq2 zq3 zq4' ELSE text END"""
 _HITS = """(SELECT query_id, b.vec_id AS id, score, rank, text FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM
  (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)) b LEFT JOIN documents ON doc_id = b.vec_id WHERE rank <= 4)"""
 _SIDE = lambda m: f"CASE WHEN doc_id % {m} <> 0 THEN CAST(doc_id % {m} AS DOUBLE) / {m} END"

@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.operators import chunking as C
-from corpusloom.operators.prefix import previous, running_last, running_sum
+from corpusloom.operators.prefix import previous, running_last, running_sum, with_block
 
 CFG = C.ChunkConfig(min_chars=10, min_tokens=3, max_tokens=8, similarity=0.5, overlap=1)
 
@@ -88,3 +88,11 @@ def test_semantic_groups(spark):
 @pytest.mark.parametrize("p, want", [(0, 1), (50, 2), (95, 3), (100, 4)])
 def test_rank_percentile(spark, p, want):
     assert spark.range(1).select(C.rank_percentile(F.array(*map(F.lit, [1, 2, 3, 4])), p)).first()[0] == want
+
+
+def test_blocks_of_sparse_order_numbers(spark):
+    """Hashes and times as order numbers make no more blocks than dense numbers."""
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7_919_000_003 - 10**12).alias("i"), F.lit(1).alias("v"))
+    assert with_block(df, "i", 100).select("__block").distinct().count() == 10
+    got = running_sum(df, ["k"], "i", F.col("v"), "s", 100)
+    assert got.groupBy("k").agg((F.count_distinct("s") == F.count("*")).alias("ok"), (F.max("s") == F.count("*")).alias("all")).filter("ok AND all").count() == 3

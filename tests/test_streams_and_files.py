@@ -11,7 +11,7 @@ from corpusloom.operators import messages as M
 from corpusloom.operators import telemetry as T
 from corpusloom.operators.collection import Collections
 from corpusloom.operators.delivery import REPLY_ORDER, MessageStore, message_identifier
-from corpusloom.operators.dialog import answer_verdict, appended_turns, last_assistant, merged_context, selected_context, skips_retrieval
+from corpusloom.operators.dialog import appended_turns, judged_answers, last_assistant, merged_context, selected_context, skips_retrieval
 from corpusloom.sources import files as S
 from corpusloom.streaming import workers as W
 
@@ -93,7 +93,7 @@ def test_dialog(spark):
     assert sorted((r["conv_id"], r["turn"], r["text"]) for r in more.filter("text IN ('q2', 'a2', 'a')").collect()) == [("c", 4, "q2"), ("c", 5, "a2"), ("e", 2, "a")]
     cases = [("r r r r", " ", None, "empty_postprocess"), ("r", "a b c", None, "too_short"), ("r", "Xin chào bạn nhé ơi", None, "generic_reply"), ("r", "Aa bb cc dd", " aa BB cc dd", "duplicate_last_assistant"), ("zz yy", "aa bb cc dd", None, "low_overlap_with_raw_answer"), ("aa zz", "aa bb cc dd", "x", "accepted")]
     df = spark.createDataFrame(cases, "raw string, post string, last string, want string")
-    assert all(r[0] == r[1] for r in df.select(answer_verdict(F.col("raw"), F.col("post"), F.col("last")), "want").collect())
+    assert all(r[0] == r[1] for r in judged_answers(df).select("reason", "want").collect())
     gate = spark.createDataFrame([("this", None, True), ("what now", "", False), (None, None, True), ("hello", "i.png", False)], "q string, i string, want boolean")
     assert all(r[0] == r[1] for r in gate.select(skips_retrieval(F.col("q"), F.col("i")), "want").collect())
     hits = spark.createDataFrame([(1, "a", 0.9, 1, " t "), (1, "b", 0.8, 2, "t"), (1, "c", 0.7, 3, "u"), (2, "d", 0.1, 1, None)], "q int, id string, score double, rank int, text string")
@@ -184,3 +184,20 @@ def test_history_state(spark, tmp_path):
     finally:
         q.stop()
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_first_replies_of_a_hot_request(spark):
+    """Against all pairs: equal times, replies of the next stretch, too late and unnamed ones."""
+    import datetime
+    import random
+
+    r, t0 = random.Random(4), datetime.datetime(2025, 1, 1)
+    at = lambda: t0 + datetime.timedelta(seconds=r.randrange(3000))
+    asked = [(r.choice(["hot", "hot", "b", None]), at(), i) for i in range(200)]
+    replied = [(r.choice(["hot", "b", None]), at(), r.choice([" OK", "failed"])) for i in range(60)]
+    a, b = spark.createDataFrame(asked, "cid string, asked_at timestamp, n int"), spark.createDataFrame(replied, "cid string, replied_at timestamp, status string")
+    got = {x["n"]: (x["replied_at"], x["outcome"]) for x in M.first_replies(a, b, 90).collect()}
+    for cid, when, n in asked:
+        near = sorted((t, s.strip().lower()) for c, t, s in replied if cid and c == cid and when <= t <= when + datetime.timedelta(seconds=90))
+        assert got[n] == ((near[0][0], near[0][1]) if near else (None, "timeout"))
+    assert M.first_replies(a.limit(0), b).count() == 0 and M.first_replies(a, b.limit(0)).filter("outcome = 'timeout'").count() == 200
