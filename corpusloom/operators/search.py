@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as V
 from corpusloom.operators.filters import Filter, filter_column
-from corpusloom.operators.lexical import bm25_scores
+from corpusloom.operators.lexical import bm25_scores, searchable
+from corpusloom.session import fresh_name
 
 #: Weights of legs by vector name: fixed values.
 WEIGHTS = {"text_dense": 0.5, "image_dense": 0.2, "bm25": 0.2}
@@ -68,12 +69,14 @@ def leg_weights(queries: list[SearchQuery]) -> list[float]:
     return [w / total for w in raw] if total > 0 else [1 / len(raw)] * len(raw)
 
 
-def run_leg(points: DataFrame, q: SearchQuery, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """id, score: the best `limit` rows of a leg, larger scores first, then the id. Distances count negatively."""
+def run_leg(points: DataFrame, q: SearchQuery, id_col: str = "id", text_col: str | None = None) -> DataFrame:
+    """id, score: the best `limit` rows of a leg, larger scores first, then the id. Distances count negatively. A lexical leg searches
+    title, text, text of images and keywords together, as far as there are such columns, or text_col alone."""
     q = q.checked()
     keep = filter_column(q.filter, points.schema)
     if q.mode() == "lexical":
-        scored = bm25_scores(points, q.query_text, id_col, text_col, keep)
+        name = text_col or fresh_name("searchable", points.columns)
+        scored = bm25_scores(points if text_col else points.withColumn(name, searchable(points)), q.query_text, id_col, name, keep)
     else:
         rows = points if keep is None else points.filter(keep)
         value = V.score(F.col(f"`{q.vector_name.strip() or 'text_dense'}`"), V.vector(q.vector), q.distance)
@@ -102,7 +105,7 @@ def fused(legs: list[DataFrame], weights: list[float], limit: int) -> DataFrame:
     return both.groupBy("id").agg(F.sum("part").alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
-def search(points: DataFrame, queries: list[SearchQuery], id_col: str = "id", text_col: str = "text", payload: list[str] | None = None) -> DataFrame:
+def search(points: DataFrame, queries: list[SearchQuery], id_col: str = "id", text_col: str | None = None, payload: list[str] | None = None) -> DataFrame:
     """id, score, rank and, where wanted, payload columns of the fused legs; the first query's limit cuts the result."""
     if not queries:
         raise ValueError("no query")
@@ -116,7 +119,7 @@ def search(points: DataFrame, queries: list[SearchQuery], id_col: str = "id", te
     return F.broadcast(found).join(rows, "id")
 
 
-def exists(points: DataFrame, query: str, f: Filter, id_col: str = "id", text_col: str = "text") -> DataFrame:
+def exists(points: DataFrame, query: str, f: Filter, id_col: str = "id", text_col: str | None = None) -> DataFrame:
     """One row, found: whether a lexical search under the filter finds anything."""
     hit = run_leg(points, SearchQuery("bm25", None, query, 1, None, f), id_col, text_col)
     return hit.agg((F.count("*") > 0).alias("found"))

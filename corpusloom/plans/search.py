@@ -4,13 +4,14 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as V
 from corpusloom.operators.filters import Condition, Filter, filtered
-from corpusloom.operators.lexical import bm25_scores, bm25_text
+from corpusloom.operators.lexical import LexicalIndex, bm25_scores, bm25_text, searchable
 from corpusloom.operators.payload import payload_map, typed_payload
 from corpusloom.operators.search import SearchQuery, batch_topk, exists, expanded, fused, leg_weights, normalised, run_leg, search
 from corpusloom.plans import sqltext as Q
 from corpusloom.session import read_table
 
 TEXT_QUERY = "retrieval pressure cables during setup"
+OCR_QUERY = "handbook chapter margin"
 
 
 def _first_vector(spark, d):
@@ -65,6 +66,16 @@ def bm25_all_scores(spark, d):
     return s.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+def bm25_indexed_topk(spark, d):
+    """Points by their whole searchable text, from an inverted index; two searches read the words of one splitting."""
+    p = read_table(spark, d, "points")
+    index, out = LexicalIndex(p.withColumn("searchable", searchable(p)), "id", "searchable"), None
+    for k, q in enumerate((TEXT_QUERY, OCR_QUERY)):
+        top = index.scores(q).orderBy(F.desc("score"), "id").limit(20).select(F.lit(k).cast("long").alias("query_no"), "id", F.round("score", 6).alias("score"))
+        out = top if out is None else out.unionByName(top)
+    return out
+
+
 def bm25_document_text(spark, d):
     p = read_table(spark, d, "points")
     return p.select("id", F.md5(bm25_text(F.col("section_title"), F.col("text"), F.col("ocr_text"), F.col("keywords"))).alias("bm25_text"))
@@ -155,7 +166,7 @@ def payload_to_map_flat(spark, d):
 QUERIES = {f"dense_{x}_topk": _dense(x) for x in V.DISTANCES} | {
     f.__name__: f
     for f in (
-        dense_filtered_topk, dense_threshold, dense_batch_topk, bm25_topk, bm25_filtered_lang, bm25_all_scores, bm25_document_text, leg_minmax, leg_weights_normalised,
+        dense_filtered_topk, dense_threshold, dense_batch_topk, bm25_topk, bm25_filtered_lang, bm25_all_scores, bm25_indexed_topk, bm25_document_text, leg_minmax, leg_weights_normalised,
         hybrid_fused, hybrid_search, bool_filter_must_should_not, verify_probe, payload_from_map, payload_to_map_flat,
     )
 }
@@ -177,8 +188,9 @@ def _sql_dense(distance, where="true", limit=10):
 _TERMS = sorted(set(TEXT_QUERY.split()))
 
 
-def _sql_bm25(table, id_col, text, where="true"):
+def _sql_bm25(table, id_col, text, where="true", asked=None):
     """Common table expression `scored` (id, s)."""
+    _TERMS = asked or globals()["_TERMS"]
     return f"""tok AS (SELECT {id_col} AS id, ({where}) AS ok, list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS ts FROM {table} WHERE {text} IS NOT NULL),
 st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM tok),
 tf AS (SELECT id, ok, len(ts) AS dl, term, len(list_filter(ts, lambda x: x = term)) AS f FROM tok, (SELECT unnest({_TERMS}) AS term)),
@@ -187,18 +199,20 @@ scored AS (SELECT id, sum(ln(1 + (n - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5
  FROM tf JOIN df USING (term), st WHERE f > 0 AND ok GROUP BY id)"""
 
 
+_B = lambda x: Q.blank_to_null(x)
+_SEARCHABLE = f"nullif(concat_ws(chr(10), {_B('section_title')}, {_B('text')}, {_B('ocr_text')}, {_B(chr(97) + 'rray_to_string(keywords, chr(32))')}), '')"
+_SEARCHED = f"(SELECT id, {_SEARCHABLE} AS st FROM points)"
 _LEGS = f"""WITH pt AS (SELECT id, text, doc_id, lang, page, CASE WHEN len(text_dense) = 64 THEN text_dense::DOUBLE[] END AS v FROM points),
 nz AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM pt WHERE v IS NOT NULL),
 q AS (SELECT min_by(v, id) AS q FROM nz WHERE norm >= 1e-12),
 dense AS (SELECT id, list_inner_product(v, q) / (norm * sqrt(list_sum(list_transform(q, lambda x: x * x)))) AS s FROM nz, q WHERE norm > 0 ORDER BY s DESC, id LIMIT 25),
-{_sql_bm25('points', 'id', 'text')},
+{_sql_bm25(_SEARCHED, 'id', 'st')},
 lex AS (SELECT id, s FROM scored ORDER BY s DESC, id LIMIT 25),
 legs AS (SELECT 'text_dense' AS leg, 5.0::DOUBLE / 7 AS w, id, s FROM dense UNION ALL SELECT 'bm25', 2.0::DOUBLE / 7, id, s FROM lex),
 norm AS (SELECT leg, w, id, CASE WHEN count(*) OVER p = 1 OR max(s) OVER p - min(s) OVER p <= 1e-8 THEN s ELSE (s - min(s) OVER p) / (max(s) OVER p - min(s) OVER p + 1e-8) END AS s
  FROM legs WINDOW p AS (PARTITION BY leg)),
 fused AS (SELECT id, sum(w * s) AS s FROM norm GROUP BY id ORDER BY s DESC, id LIMIT 25)
 """
-_B = lambda x: Q.blank_to_null(x)
 _MAP = []
 for k in ("doc_id", "source_path", "modality", "unit_type", "text", "ocr_text", "image_path", "section_title", "lang", "parent_id"):
     _MAP.append(f"SELECT id, '{k}' AS key, {k} AS value FROM points WHERE {k} <> ''")
@@ -217,6 +231,8 @@ SQL = {f"dense_{x}_topk": _sql_dense(x) for x in V.DISTANCES} | {
     "bm25_topk": f"WITH {_sql_bm25('documents', 'doc_id', 'text')} SELECT id AS doc_id, round(s, 6) AS score FROM scored ORDER BY s DESC, id LIMIT 20",
     "bm25_filtered_lang": f"WITH {_sql_bm25('documents', 'doc_id', 'text', 'coalesce(lang = chr(101) || chr(110), false)')} SELECT id AS doc_id, round(s, 6) AS score FROM scored ORDER BY s DESC, id LIMIT 20",
     "bm25_all_scores": f"WITH {_sql_bm25('documents', 'doc_id', 'text')} SELECT id AS doc_id, round(s, 6) AS score FROM scored",
+    "bm25_indexed_topk": f"""(WITH {_sql_bm25(_SEARCHED, 'id', 'st')} SELECT 0::BIGINT AS query_no, id, round(s, 6) AS score FROM scored ORDER BY s DESC, id LIMIT 20) UNION ALL
+ (WITH {_sql_bm25(_SEARCHED, 'id', 'st', 'true', sorted(OCR_QUERY.split()))} SELECT 1::BIGINT AS query_no, id, round(s, 6) AS score FROM scored ORDER BY s DESC, id LIMIT 20)""",
     "bm25_document_text": f"SELECT id, md5(concat_ws(chr(10), {_B('section_title')}, {_B('text')}, {_B('ocr_text')}, {_B(chr(97) + 'rray_to_string(keywords, chr(32))')})) AS bm25_text FROM points",
     "leg_minmax": _LEGS + "SELECT leg, id, round(s, 6) AS score FROM norm",
     "leg_weights_normalised": """WITH w AS (SELECT * FROM (VALUES ('text_dense', 'text_dense', 0.5), ('text_dense,bm25', 'text_dense', 0.5), ('text_dense,bm25', 'bm25', 0.2),

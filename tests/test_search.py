@@ -93,3 +93,16 @@ def test_payload_round_trip(spark):
     assert (got["page"], got["chunk_index"], got["token_count"], got["has_table"], got["has_figure"], got["keywords"], got["text"]) == (0, 7, 0, True, False, ["a", " b", ""], "")
     back = row.select(payload_map(row.columns).alias("m")).first()["m"]
     assert back == {"doc_id": "d", "chunk_index": "7", "has_table": "true", "keywords": "a, b,", "created_at": "2026-03-28T12:00:00Z"}
+
+
+def test_index_and_searchable_text(spark):
+    from corpusloom.operators.lexical import LexicalIndex, bm25_scores, searchable
+
+    rows = [("a", None, "Red pump", None, ["valve"], 1), ("b", "Title", None, "scanned gasket", None, 2), ("c", None, None, None, None, 3), ("d", " ", "pump pump", "x", ["", "Gasket"], 4)]
+    p = spark.createDataFrame(rows, "id string, section_title string, text string, ocr_text string, keywords array<string>, searchable int")
+    assert set(ids(search(p, [SearchQuery("bm25", query_text="GASKET valve", limit=9)]))) == {"a", "b", "d"}
+    whole = p.select("id", searchable(p).alias("st"))
+    index = LexicalIndex(whole, "id", "st")
+    for q in ("pump", "gasket valve", "none such", "", "pump title x"):
+        assert {r["id"]: round(r["score"], 9) for r in index.scores(q).collect()} == {r["id"]: round(r["score"], 9) for r in bm25_scores(whole, q, "id", "st").collect()}
+    assert LexicalIndex(whole.limit(0), "id", "st").scores("pump").count() == 0
