@@ -1,8 +1,8 @@
 """Queries registered for the driver, with their SQL."""
 
-from corpusloom.plans import chunking, collection, delivery, dialog, search, streaming, telemetry, text
+from corpusloom.plans import chat, chunking, collection, delivery, dialog, search, streaming, telemetry, text
 
-_MODULES = [delivery, text, search, chunking, dialog, telemetry, collection, streaming]
+_MODULES = [delivery, text, search, chunking, dialog, chat, telemetry, collection, streaming]
 FLAGSHIP = "hybrid_search"
 
 

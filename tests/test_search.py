@@ -57,7 +57,7 @@ def test_expansion_and_weights():
 def test_legs(points):
     assert ids(run_leg(points, SearchQuery("text_dense", [1.0, 0.0], limit=5))) == ["a", "b"]  # no norm, no row
     assert ids(run_leg(points, SearchQuery("text_dense", [1.0, 0.0], limit=5, distance="euclid"))) == ["a", "b", "d"]
-    assert ids(run_leg(points, SearchQuery("bm25", query_text="RED pump!", limit=5))) == ["a", "c", "b"]
+    assert ids(run_leg(points, SearchQuery("bm25", query_text="RED pump!", limit=5), text_col="text")) == ["a", "c", "b"]
     assert ids(run_leg(points, SearchQuery("text_dense", [1.0, 0.0], limit=5, score_threshold=0.7))) == ["a"]
     assert ids(search(points, [SearchQuery("text_dense", [1.0, 0.0], "blue", limit=2)])) == ["a", "b"]
     with pytest.raises(ValueError):
