@@ -7,9 +7,11 @@ run of each id, so writes cost what they bring and compaction rewrites the rest
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,10 @@ from corpusloom.operators.filters import Filter, filter_column
 from corpusloom.session import drop_path
 
 
+#: What failures say that may pass: fixed values.
+TRANSIENT = ("deadline exceeded", "connection refused", "connection reset", "temporarily unavailable", "timed out")
+
+
 @dataclass(frozen=True)
 class VectorConfig:
     name: str
@@ -65,8 +71,17 @@ class Collections:
             raise ValueError(f"{name!r} is no collection's name")
         return "/".join([self.root, name, *parts])
 
-    def exists(self, name: str) -> bool:
-        return self._fs.exists(self._path(self._at(name, "_schema")))
+    def exists(self, name: str, attempts: int = 3, wait_ms: int = 300) -> bool:
+        """Whether there is such a collection. A file system that doesn't answer is asked again, after a wait that doubles."""
+        at = self._path(self._at(name, "_schema"))
+        for k in range(1, attempts + 1):
+            try:
+                return self._fs.exists(at)
+            except Py4JJavaError as e:
+                if k == attempts or not any(x in str(e.java_exception).lower() for x in TRANSIENT):
+                    raise
+                time.sleep(wait_ms / 1000 * 2 ** (k - 1))
+        return False
 
     def schema(self, name: str) -> CollectionSchema:
         if not self.exists(name):
@@ -99,9 +114,12 @@ class Collections:
     def _append(self, name: str, rows: DataFrame) -> None:
         tmp = self._at(name, f"_writing-{uuid.uuid4().hex}")
         rows.write.parquet(tmp)
+        # The run's number is taken by making its marker, which only one writer can; then the run moves to a name that is its alone.
         run = (self._runs(name) or [0])[-1] + 1
+        while not self._fs.createNewFile(self._path(self._at(name, f"_taken-{run}"))):
+            run += 1
         if not self._fs.rename(self._path(tmp), self._path(self._at(name, f"run={run}"))):
-            raise RuntimeError("another writer took the run; write again")
+            raise RuntimeError(f"run {run} could not be put in place; write again")
 
     def upsert(self, name: str, points: DataFrame) -> None:
         """Rows with an id (string) and at least one vector or searchable text. Of equal ids in a batch the last by all columns counts.

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from corpusloom.operators.chunking import ChunkConfig, chunk_documents
 from corpusloom.operators.collection import CollectionSchema, Collections, VectorConfig
 from corpusloom.operators.filters import Condition, Filter
+from corpusloom.operators.prefix import running_sum
 from corpusloom.operators.search import exists
+from corpusloom.session import written
 
 BATCH, MOST_BATCH = 20, 200
 
@@ -55,3 +57,25 @@ def ingest(docs: DataFrame, collections: Collections, name: str, config: ChunkCo
 def verified(points: DataFrame, doc_id: str, first_text: str) -> DataFrame:
     """One row, found: a lexical search for the document's first chunk (or its id, if that is blank) meets one of its points."""
     return exists(points, first_text.strip() or doc_id, Filter(must=[Condition("doc_id", "eq", doc_id)]))
+
+
+def upload(points: DataFrame, collections: Collections, schema: CollectionSchema, order: str, n: int | None = None) -> DataFrame:
+    """One row, success, n_inserted, n_skipped, failed_batch: points (id, vectors, payload) by their order number (whole numbers, unique) in
+    batches of n. Points without any vector are skipped. A batch with a vector of another length than the collection's fails: those
+    before it stay, it and those after are not written. All good batches are one commit.
+    """
+    collections.ensure(schema)
+    n, sizes = batch_size(n), {v.name: v.size for v in schema.checked().vectors if v.name in points.columns}
+    has = F.lit(False)
+    wrong = F.lit(False)
+    for c, size in sizes.items():
+        has = has | F.coalesce(F.size(c) > 0, F.lit(False))
+        wrong = wrong | (F.coalesce(F.size(c), F.lit(0)) > 0) & (F.size(c) != size)
+    good = running_sum(points.filter(has), [], order, F.lit(1), "__rank").withColumn("__batch", F.floor((F.col("__rank") - 1) / n).cast("long"))
+    good = written(good.withColumn("__wrong", wrong), "upload")
+    failed = good.agg(F.min(F.when(F.col("__wrong"), F.col("__batch"))), F.count("*")).first()
+    kept = good if failed[0] is None else good.filter(F.col("__batch") < failed[0])
+    collections.upsert(schema.name, kept.drop("__rank", "__batch", "__wrong"))
+    inserted = failed[1] if failed[0] is None else min(failed[1], failed[0] * n)
+    skipped = points.filter(~has).count()
+    return points.sparkSession.createDataFrame([(failed[0] is None, inserted, skipped, failed[0])], "success boolean, n_inserted long, n_skipped long, failed_batch long")

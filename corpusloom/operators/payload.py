@@ -14,6 +14,14 @@ BOOLEANS = ("has_table", "has_figure")
 TRUE, FALSE = ("1", "t", "T", "TRUE", "true", "True"), ("0", "f", "F", "FALSE", "false", "False")
 
 
+#: A box on a page; one that lacks a coordinate is none.
+BOX = "x1 int, y1 int, x2 int, y2 int"
+
+
+def _whole(box: Column) -> Column:
+    return box["x1"].isNotNull() & box["y1"].isNotNull() & box["x2"].isNotNull() & box["y2"].isNotNull()
+
+
 def typed_payload(m: Column) -> list[Column]:
     """Columns of a map of strings: what doesn't parse is 0, false or null; unknown keys are left out; keywords are split, not trimmed."""
     at = lambda k: m[k]
@@ -24,6 +32,8 @@ def typed_payload(m: Column) -> list[Column]:
         out.append(F.coalesce(at(k).isin(*TRUE), F.lit(False)).alias(k))
     out.append(F.when(F.coalesce(at("keywords"), F.lit("")) != "", F.split(at("keywords"), ",", -1)).alias("keywords"))
     out.append(parse_rfc3339(at("created_at")).alias("created_at"))
+    box = F.from_json(at("bbox"), BOX)
+    out.append(F.when(_whole(box), box).alias("bbox"))
     return out
 
 
@@ -44,4 +54,6 @@ def payload_map(columns: list[str]) -> Column:
         pairs += [F.lit("keywords"), F.when(F.size("keywords") > 0, F.array_join("keywords", ","))]
     if "created_at" in have:
         pairs += [F.lit("created_at"), rfc3339(F.col("created_at"))]
+    if "bbox" in have:
+        pairs += [F.lit("bbox"), F.when(_whole(F.col("bbox")), F.to_json("bbox"))]
     return F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())

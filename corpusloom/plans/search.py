@@ -149,11 +149,13 @@ def payload_from_map(spark, d):
             F.lit("has_table"), F.when(F.col("doc_id") % 5 == 0, F.lit("yes")).when(F.col("doc_id") % 5 == 1, F.lit("T")).otherwise(F.lit("false")),
             F.lit("keywords"), F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(F.concat(F.coalesce("source", F.lit("")), F.lit(", x"))),
             F.lit("created_at"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+            F.lit("bbox"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('{"x1":1,"y1":2,"x2":'), F.col("doc_id").cast("string"), F.lit(',"y2":4}'))).otherwise(F.lit('{"x1":1,"y1":2}')),
         ), lambda k, v: v.isNotNull())
     t = docs.select(m.alias("m")).select(*typed_payload(F.col("m")))
     return t.select(
         F.col("doc_id").cast("long").alias("doc_id"), "lang", F.length("text").cast("long").alias("n"), F.col("page").cast("long").alias("page"), F.col("chunk_index").cast("long").alias("chunk_index"),
         F.col("token_count").cast("long").alias("token_count"), "has_table", "has_figure", F.array_join("keywords", "|").alias("keywords"), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+        (F.col("bbox.x1") + F.col("bbox.x2")).cast("long").alias("box"),
     )
 
 
@@ -221,6 +223,7 @@ for k in ("page", "chunk_index", "token_count"):
 for k in ("has_table", "has_figure"):
     _MAP.append(f"SELECT id, '{k}', 'true' FROM points WHERE {k}")
 _MAP.append("SELECT id, 'keywords', array_to_string(keywords, ',') FROM points WHERE len(keywords) > 0")
+_MAP.append("""SELECT id, 'bbox', '{"x1":' || bbox.x1 || ',"y1":' || bbox.y1 || ',"x2":' || bbox.x2 || ',"y2":' || bbox.y2 || '}' FROM points WHERE bbox.x1 + bbox.y1 + bbox.x2 + bbox.y2 IS NOT NULL""")
 _MAP.append("SELECT id, 'created_at', strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') FROM points WHERE created_at IS NOT NULL")
 
 SQL = {f"dense_{x}_topk": _sql_dense(x) for x in V.DISTANCES} | {
@@ -246,6 +249,7 @@ SQL = {f"dense_{x}_topk": _sql_dense(x) for x in V.DISTANCES} | {
  UNION ALL SELECT 'unseen', false""",
     "payload_from_map": """SELECT doc_id, coalesce(lang, '') AS lang, length(coalesce(text, '')) AS n, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id END AS page,
  CASE WHEN doc_id % 2 = 0 AND n_chars IS NOT NULL THEN n_chars ELSE 0 END AS chunk_index, 0::BIGINT AS token_count, doc_id % 5 = 1 AS has_table, false AS has_figure,
- CASE WHEN doc_id % 7 = 0 THEN NULL ELSE replace(coalesce(source, '') || ', x', ',', '|') END AS keywords, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS created_at FROM documents""",
+ CASE WHEN doc_id % 7 = 0 THEN NULL ELSE replace(coalesce(source, '') || ', x', ',', '|') END AS keywords, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS created_at,
+ CASE WHEN doc_id % 2 = 0 THEN 1 + doc_id END AS box FROM documents""",
     "payload_to_map_flat": "SELECT id, key, md5(value) AS value FROM (" + " UNION ALL ".join(_MAP) + ")",
 }

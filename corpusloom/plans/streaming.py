@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.models import hash_embedding
 from corpusloom.operators.chunking import ChunkConfig
-from corpusloom.operators.collection import Collections
+from corpusloom.operators.collection import Collections, CollectionSchema, VectorConfig
 from corpusloom.operators.delivery import REPLY_ORDER, MessageStore, message_identifier
-from corpusloom.operators.ingest import ingest, points_of_documents, tallies
+from corpusloom.operators.ingest import ingest, points_of_documents, tallies, upload
 from corpusloom.session import fresh_path, read_table
 from corpusloom.streaming import workers as W
 
@@ -108,13 +108,29 @@ def ingest_verified(spark, d):
     return ingest(docs, Collections(spark, fresh_path(spark, "collections")), "ingested")
 
 
+def batched_upload(spark, d):
+    """Vectors in batches of 20, some without items, and one of another length in the second upload."""
+    e = read_table(spark, d, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("id"), F.when(F.col("vec_id") % 7 != 0, F.col("embedding")).alias("text_dense"))
+    spoilt = e.withColumn("text_dense", F.when(F.col("vec_id") == 437, F.slice("text_dense", 1, 3)).otherwise(F.col("text_dense")))
+    collections, out = Collections(spark, fresh_path(spark, "collections")), None
+    for k, (rows, schema) in enumerate(((e, "whole"), (spoilt, "broken"))):
+        made = upload(rows, collections, CollectionSchema(schema, [VectorConfig("text_dense", 64)]), "vec_id")
+        made = made.select(F.lit(k).cast("long").alias("upload_no"), "*", F.lit(collections.count(schema)).cast("long").alias("n_there"))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
 QUERIES = {
     f.__name__: f
-    for f in (stream_embedding_replies, stream_process_requests, stream_windowed_counts, stream_sessions, stream_replies_awaited, stream_deduplicated, ingest_points, ingest_tallies, ingest_verified)
+    for f in (stream_embedding_replies, stream_process_requests, stream_windowed_counts, stream_sessions, stream_replies_awaited, stream_deduplicated, ingest_points, ingest_tallies, ingest_verified, batched_upload)
 }
 _WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _C = lambda x: f"nullif(regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g'), '')"
 SQL = {
+    "batched_upload": """WITH g AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings WHERE vec_id % 7 <> 0),
+ f AS (SELECT (min(r) FILTER (vec_id = 437) - 1) // 20 AS failed, count(*) AS n FROM g)
+ SELECT 0::BIGINT AS upload_no, true AS success, n AS n_inserted, (SELECT count(*) FROM embeddings WHERE vec_id % 7 = 0) AS n_skipped, NULL::BIGINT AS failed_batch, n AS n_there FROM f
+ UNION ALL SELECT 1, failed IS NULL, coalesce(failed * 20, n)::BIGINT, (SELECT count(*) FROM embeddings WHERE vec_id % 7 = 0), failed, coalesce(failed * 20, n)::BIGINT FROM f""",
     "stream_embedding_replies": f"""SELECT chunk_id, CASE WHEN bad THEN 'failed' ELSE 'ok' END AS status, CASE WHEN bad THEN 0 ELSE 2 END AS n, CASE WHEN bad THEN 0 ELSE 64 END AS dimension
  FROM (SELECT chunk_id, chunk_id % 7 = 0 OR {_C('text')} IS NULL AS bad FROM chunks)""",
     "stream_process_requests": f"""SELECT uuid, CASE WHEN timeout_seconds > 0 THEN timeout_seconds ELSE 180 END::BIGINT AS timeout_seconds, coalesce({_C('correlation_id')}, uuid) AS correlation_id,

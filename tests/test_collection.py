@@ -1,4 +1,6 @@
 import pytest
+from pyspark.sql import functions as F
+
 
 from corpusloom.operators.collection import CollectionSchema, Collections, VectorConfig
 from corpusloom.operators.filters import Condition, Filter
@@ -65,3 +67,14 @@ def test_ingest(spark, store):
     assert [tuple(r) for r in tallies(points_of_documents(docs)).collect()] == [("d1", 1, 0)]
     assert verified(store.rows("in"), "d1", "seven eight").first()["found"] and not verified(store.rows("in"), "d1", " ").first()["found"]
     assert [batch_size(*a) for a in ((None, None), (0, 30), (500, 30))] == [20, 30, 200]
+
+
+def test_writers_that_meet_lose_nothing(spark, tmp_path):
+    """A run's number that another writer holds is passed over."""
+    made = Collections(spark, str(tmp_path / "c"))
+    made.create(CollectionSchema("x", [VectorConfig("text_dense", 2)]))
+    rows = spark.createDataFrame([("a", [1.0, 2.0])], "id string, text_dense array<float>")
+    assert made._fs.createNewFile(made._path(made._at("x", "_taken-1")))
+    made.upsert("x", rows)
+    made.upsert("x", rows.withColumn("id", F.lit("b")))
+    assert made._runs("x") == [2, 3] and made.count("x") == 2
