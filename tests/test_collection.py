@@ -1,7 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-
 from corpusloom.operators.collection import CollectionSchema, Collections, VectorConfig
 from corpusloom.operators.filters import Condition, Filter
 from corpusloom.operators.ingest import batch_size, ingest, points_of_documents, tallies, verified
