@@ -23,7 +23,9 @@ SEARCHABLE = ("section_title", "text", "ocr_text", "keywords")
 def searchable(df: DataFrame) -> Column:
     """The searchable text of rows by the columns they have; null where there is none."""
     have = {c: F.col(c) if c in df.columns else F.lit(None).cast("array<string>" if c == "keywords" else "string") for c in SEARCHABLE}
-    return F.nullif(bm25_text(*[have[c] for c in SEARCHABLE]), F.lit(""))
+    # White space around is of no matter to words, so nothing is trimmed as bm25_text does.
+    whole = F.concat_ws("\n", *[F.array_join(have[c], " ") if c == "keywords" else have[c] for c in SEARCHABLE])
+    return F.when(whole.rlike(r"(?U)\S"), whole)
 
 
 def terms(t: Column) -> Column:
