@@ -1,8 +1,9 @@
 """The most similar vectors of every vector (problem 3).
 
-Vectors are projected to few dimensions, several times with shifted and rotated axes; each projection orders them along a Hilbert
-curve. The curves are cut into ranges; within a range every vector meets the next ones along the curve, and the best of all
-curves are merged and ranked again on the exact vectors.
+Vectors are ordered several times: where a cosine is asked from a floor on, by the largest of randomly rotated axes, digit after digit
+(cross-polytope hashing); else along Hilbert curves through projections to few dimensions. The orderings (curves) are cut into ranges;
+within a range every vector meets the next ones along the curve, and the best of all curves are merged and ranked again on the exact
+vectors. Windows follow the number of vectors, so a pair's chance to be met doesn't fall with it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from corpusloom.session import written
 SAMPLE = 20_000
 #: Neighbours from a floor on that a vector keeps of each range.
 LEAST_KEPT = 32
+#: With a floor windows hold at least this part of all vectors: about two digits of an ordering, however many vectors there are.
+WINDOW_PART = 4096
 
 
 def hilbert_keys(x: np.ndarray, bits: int) -> np.ndarray:
@@ -67,6 +70,29 @@ class Curves:
         return hilbert_keys(cells.astype(np.int64), self.bits)
 
 
+class Polytopes:
+    """`count` orderings of unit vectors of length `dim` by digits: each digit is the largest of some 32 randomly rotated axes, with its
+    sign. Vectors of a high cosine share their first digits far more often than others do, in any number of dimensions."""
+
+    def __init__(self, dim: int, count: int, seed: int = 7):
+        rng = np.random.default_rng(seed)
+        self.count = count
+        parts = np.array_split(np.arange(dim), max(1, round(dim / 32)))
+        self.bits = int(2 * max(map(len, parts)) - 1).bit_length()
+        digits = 36 // self.bits
+        turns = -(-digits // len(parts))
+        self.axes = [[[q[:, p] for p in parts] for q in (np.linalg.qr(rng.standard_normal((dim, dim)))[0].astype(np.float32) for _ in range(turns))] for _ in range(count)]
+        self.axes = [[a for turn in own for a in turn][:digits] for own in self.axes]
+
+    def keys(self, unit: np.ndarray, k: int) -> np.ndarray:
+        key, rows = np.zeros(len(unit), np.int64), np.arange(len(unit))
+        for axes in self.axes[k]:
+            p = unit @ axes
+            at = np.abs(p).argmax(axis=1)
+            key = key << self.bits | 2 * at | (p[rows, at] < 0)
+        return key
+
+
 def unit_rows(column: pa.ChunkedArray | pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and normalised vectors of the usable rows: right length, no null or non-finite item, norm not zero."""
     if isinstance(column, pa.ChunkedArray):
@@ -83,7 +109,7 @@ def coded(unit: np.ndarray) -> np.ndarray:
     return np.rint(unit * (127 / np.abs(unit).max(axis=1))[:, None]).astype(np.int8)
 
 
-def _ordering(curves: Curves, cuts: list[np.ndarray], dim: int, overlap: int, both_sides: bool):
+def _ordering(curves: Curves | Polytopes, cuts: list[np.ndarray], dim: int, overlap: int, both_sides: bool):
     """(vec_id, v) -> for each range of each curve the rows that belong there, packed. A row in the first cell of a range also
     goes to the range before, so that windows cross the border; there it is only met, it meets nobody (flag 1). Where windows reach
     back too, rows of a last cell go to the range after in the same way."""
@@ -125,15 +151,16 @@ def _ordering(curves: Curves, cuts: list[np.ndarray], dim: int, overlap: int, bo
     return run
 
 
-def _best_from(s: np.ndarray, floor: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the values from the floor on, in each row the `most` largest of them."""
-    x, y = np.nonzero(s >= floor)
-    full = np.flatnonzero(np.bincount(x, minlength=s.shape[0]) > most)
-    if len(full):
-        keep = ~np.isin(x, full)
-        best = np.argpartition(-s[full], most - 1, axis=1)[:, :most]
-        x, y = np.concatenate([x[keep], np.repeat(full, most)]), np.concatenate([y[keep], best.ravel()])
-    return x, y
+def _best_of(x: np.ndarray, value: np.ndarray, most: int) -> np.ndarray:
+    """Which of the pairs (x, .) are among the `most` of largest value of their x."""
+    if not len(x) or np.bincount(x).max() <= most:
+        return np.ones(len(x), bool)
+    order = np.lexsort((-value, x))
+    own = x[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    good = np.empty(len(x), bool)
+    good[order] = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x)))) < most
+    return good
 
 
 def _meeting(dim: int, window: int, k: int, floor: float | None):
@@ -153,14 +180,17 @@ def _meeting(dim: int, window: int, k: int, floor: float | None):
         for low in range(0, n, step):
             high, end = min(n, low + step), min(n, low + step + window)
             s = v[low:high] @ v[low:end].T
-            i, j = np.arange(low, high)[:, None], np.arange(low, end)[None, :]
-            s[(j <= i) | (j - i > window) | ~own[low:high, None]] = -2
             if floor is not None:
-                # Of a dense cluster only the nearest of each vector, on either side, can matter.
-                x, y = _best_from(s, floor, max(k, LEAST_KEPT))
-                y2, x2 = _best_from(s.T, floor, max(k, LEAST_KEPT))
-                x, y = np.concatenate([x, x2]), np.concatenate([y, y2])
+                # Few reach the floor, so all else is asked of those alone. Of a dense cluster only the nearest of each vector, on
+                # either side, can matter.
+                x, y = np.divmod(np.flatnonzero(s.ravel() >= floor), s.shape[1])
+                good = (y > x) & (y - x <= window) & own[low + x]
+                x, y = x[good], y[good]
+                good = _best_of(x, s[x, y], max(k, LEAST_KEPT)) | _best_of(y, s[x, y], max(k, LEAST_KEPT))
+                x, y = x[good], y[good]
             else:
+                i, j = np.arange(low, high)[:, None], np.arange(low, end)[None, :]
+                s[(j <= i) | (j - i > window) | ~own[low:high, None]] = -2
                 best = min(k, s.shape[1])
                 y = np.argpartition(-s, best - 1, axis=1)[:, :best].ravel()
                 x = np.repeat(np.arange(high - low), best)
@@ -237,7 +267,7 @@ def similar_vectors(
     Equal vectors are one vector on the curves and are all found (as links between rows) at the end. least_cosine is pushed
     down: a neighbour from there on is among the k nearest by others from there on, so nothing below need be kept. every: only
     vectors whose 64-bit identity it divides are asked, against all; their windows may then be wide. An empty table gives an empty
-    result.
+    result. With least_cosine windows grow with the rows (WINDOW_PART).
     """
     spark = rows.sparkSession
     base = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").alias("v")).filter(F.col("id").isNotNull() & (F.size("v") == dim))
@@ -248,7 +278,10 @@ def similar_vectors(
     sample = base.select("vec_id", "v").filter(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // (SAMPLE // 2)))) == 0).limit(SAMPLE)
     at = sample.toArrow()
     _, unit = unit_rows(at.column("v"), dim)
-    made = Curves(dim, curves, min(axes, dim))
+    if least_cosine is None:
+        made = Curves(dim, curves, min(axes, dim))
+    else:
+        made, window = Polytopes(dim, curves), max(window, -(-n // WINDOW_PART))
     overlap = 16
     ranges = max(1, round(n / (overlap * 2 * window)))
     inner = np.linspace(0, 1, ranges * overlap + 1)[1:-1]

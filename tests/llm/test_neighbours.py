@@ -68,3 +68,25 @@ def test_some_are_asked_against_all(spark):
     want = {p for p in best(x, ids, 5, -1) if p[0] in asked}
     assert 60 < len(asked) < 200 and len(got) == 5 * len(asked)
     assert len(want & {(r["id"], r["neighbour"]) for r in got}) >= 0.9 * len(want)
+
+
+def test_a_floor_holds_where_windows_are_a_small_part(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((20_000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.standard_normal((500, 48))
+    away -= (away * x[:500]).sum(axis=1, keepdims=True) * x[:500]
+    x[-500:] = 0.95 * x[:500] + np.sqrt(1 - 0.95**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "id long, v array<float>")
+    got = {(r["id"], r["neighbour"]) for r in similar_vectors(df, "id", "v", 48, 5, 0.9, window=4).collect()}
+    want = {p for i in range(500) for p in ((i, 19_500 + i), (19_500 + i, i))}
+    assert len(want & got) >= 0.97 * len(want) and got <= want
+
+
+def test_only_the_best_of_a_dense_cluster_are_kept(spark):
+    rng = np.random.default_rng(6)
+    x = (np.eye(1, 16) + 0.01 * rng.standard_normal((300, 16))).astype(np.float32)
+    ids = [f"v{i:05d}" for i in range(len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "id string, v array<float>")
+    got = {(r["id"], r["neighbour"]) for r in similar_vectors(df, "id", "v", 16, 5, 0.9).collect()}
+    assert len(got) == 1500 and len(got & best(x, ids, 5, 0.9)) >= 1440
