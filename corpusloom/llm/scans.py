@@ -28,6 +28,8 @@ BREAKS = "-­‐¬"
 #: masked anew, as the names of a document with many pages may pass the lower ones. And the share for a masked line.
 WORD_SHARES, LINE_SHARE = (0.005, 0.015, 0.04), 0.002
 EDGE = 2
+#: Misread words, with what they were, up to which they are sent to all executors (some 20 MB as a hash table); more are shuffled.
+SENT_WORDS = 100_000
 
 _ROMAN = r"(?=[ivxl])(?:x{0,3}|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
 _PAGE = re.compile(rf"\s*(?:[-–—\[(]+\s*)?(?:p(?:age|\.)?\s*)?(?:\d{{1,4}}|{_ROMAN})(?:\s*(?:of|/)\s*\d{{1,4}})?(?:\s*[-–—\])]+)?\s*\Z", re.IGNORECASE)
@@ -340,6 +342,12 @@ def _line_rows(marked):
     return run
 
 
+def _by_shuffle(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is never broadcast. Spark takes its size from files, where words need a tenth of their memory, and
+    doesn't see that words become a hundred times as much when Python takes them apart; the driver would have to hold all of it."""
+    return df.hint("merge")
+
+
 def _gaps(word: str):
     """(rest, gap): the word with one or two of its characters left out at every place, as long as three are left."""
     for size in (1, 2):
@@ -370,11 +378,11 @@ def learnt_confusions(unknown: DataFrame, vocab: DataFrame) -> list[tuple[str, s
     # Numbers and codes are no words, and what was meant are letters.
     asked = unknown.select("word").filter(~F.col("word").rlike(r"^\P{L}*$|\d{2}|-\d|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")).mapInArrow(_gapped, schema)
     right = vocab.filter("n >= 3").select("word").mapInArrow(_gapped, schema).select(F.col("word").alias("right"), "rest", F.col("gap").alias("meant")).filter(F.col("meant").rlike(r"^\p{L}+$"))
-    pairs = asked.join(right, "rest").filter("gap <> meant AND (length(gap) = 1 OR length(meant) = 1 OR (substring(gap, 1, 1) <> substring(meant, 1, 1) AND substring(gap, -1) <> substring(meant, -1)))")
+    pairs = asked.join(_by_shuffle(right), "rest").filter("gap <> meant AND (length(gap) = 1 OR length(meant) = 1 OR (substring(gap, 1, 1) <> substring(meant, 1, 1) AND substring(gap, -1) <> substring(meant, -1)))")
     # A longer gap that only carries along a common character is the shorter one at another place.
     pairs = pairs.filter("NOT (length(gap) = length(meant) AND length(gap) = 2 AND (substring(gap, 1, 1) = substring(meant, 1, 1) OR substring(gap, 2, 1) = substring(meant, 2, 1)))")
     pairs = written(pairs.select("word", "gap", "meant", "right").distinct(), "readings")
-    shares = pairs.join(pairs.groupBy("word").agg(F.count("*").alias("k")), "word").groupBy("gap", "meant").agg(F.sum(1 / F.col("k")).alias("weight"), F.count_distinct("word").alias("words"))
+    shares = pairs.join(_by_shuffle(pairs.groupBy("word").agg(F.count("*").alias("k"))), "word").groupBy("gap", "meant").agg(F.sum(1 / F.col("k")).alias("weight"), F.count_distinct("word").alias("words"))
     total = shares.agg(F.sum("weight")).first()[0] or 0.0
     good = shares.filter((F.col("weight") >= CONFUSION_SHARE * total) & (F.col("words") >= CONFUSION_WORDS))
     return [(r["gap"], r["meant"]) for r in good.orderBy(F.desc("weight"), "gap", "meant").collect()]
@@ -447,7 +455,7 @@ def scan_decisions(scanned: DataFrame, clean: DataFrame) -> DataFrame:
     out = lines.filter("kind = 'furniture'").select("id", "field_name", "line_no", "kind", none.alias("word"), none.alias("right"))
     sure = lines.filter("kind = 'hyphen'").select("id", "field_name", "line_no", "kind", F.col("words")[1].alias("word"), F.col("words")[0].alias("right"))
     maybe = lines.filter("kind = 'maybe'").select("id", "field_name", "line_no", F.col("words")[0].alias("joined"), F.col("words")[1].alias("kept"), (F.col("words")[2] == "1").alias("belongs"))
-    maybe = maybe.join(joined, "joined", "left").join(kept, "kept", "left").fillna(0, ["n_joined", "n_kept"])
+    maybe = maybe.join(_by_shuffle(joined), "joined", "left").join(_by_shuffle(kept), "kept", "left").fillna(0, ["n_joined", "n_kept"])
     broken = F.when(F.col("n_joined") != F.col("n_kept"), F.col("n_joined") > F.col("n_kept")).otherwise(~F.col("belongs"))
     maybe = maybe.filter(broken).select("id", "field_name", "line_no", F.lit("hyphen").alias("kind"), F.col("kept").alias("word"), F.col("joined").alias("right"))
     # Words of content lines, broken ones joined, each with the line that holds its first part and how long that part is.
@@ -455,15 +463,16 @@ def scan_decisions(scanned: DataFrame, clean: DataFrame) -> DataFrame:
     split = lines.filter("kind = 'split'").select("id", "field_name", "line_no", F.col("words")[0].alias("word"), F.col("words")[1].cast("int").alias("left"), F.col("words")[2].cast("int").alias("after"))
     words = plain.unionByName(split)
     known = vocab.select("word", "n")
-    asked = words.select("word").distinct().join(known, "word", "left").fillna(0, ["n"])
+    asked = words.select("word").distinct().join(_by_shuffle(known), "word", "left").fillna(0, ["n"])
     asked = written(asked, "asked")
     confusions = learnt_confusions(asked.filter("n = 0").select("word"), vocab)
     tried = asked.select("word").mapInArrow(_correcting(confusions), "word string, right string, at int")
-    rights = tried.join(known.select(F.col("word").alias("right"), F.col("n").alias("n_right")), "right").join(asked, "word")
+    rights = tried.join(_by_shuffle(known.select(F.col("word").alias("right"), F.col("n").alias("n_right"))), "right").join(_by_shuffle(asked), "word")
     odd = F.col("word").rlike(r"[0-9!]")
     rights = rights.filter((F.col("n") * 200 <= F.col("n_right")) & (F.col("n_right") >= F.when(odd, 1).otherwise(3)))
     best = rights.groupBy("word").agg(F.max_by(F.struct("right", "at"), "n_right").alias("r")).select("word", "r.right", "r.at")
     best = written(best, "misread")
+    best = F.broadcast(best) if best.count() <= SENT_WORDS else _by_shuffle(best)
     misread = words.join(best, "word").select(
         "id", "field_name", F.when(F.col("at") < F.col("left"), F.col("line_no")).otherwise(F.col("after")).alias("line_no"), F.lit("misread").alias("kind"), "word", "right"
     )

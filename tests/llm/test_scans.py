@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from corpusloom.llm import scans
 from corpusloom.llm.scans import _Marks, corrections, folded, in_sequence, is_page_number, learnt_confusions, page_value, repair_scans, repaired, scan_decisions
 
 BODY = ["the pump feeds the cool-", "ing loop and the valve", "stops the motor at night.", "3.1 Details", "12 13 14", "A real-", "time clock ru1es here."]
@@ -102,3 +103,18 @@ def test_headers_of_few_and_of_many_documents(spark, n_docs):
     # Without documents lines that recur unchanged are still told.
     got = {(r["id"], r["line_no"]) for r in scan_decisions(scanned.drop("doc", "page"), clean).filter("kind = 'furniture'").collect()}
     assert sum(k in got for k in truth if k[1] == 1) >= 0.95 * len(truth) / 2
+
+
+@pytest.mark.parametrize("sent", [None, 0])
+def test_only_few_misread_words_are_broadcast(tables, monkeypatch, sent):
+    """Words grow with the corpus, and more so in Python, which Spark's sizes don't tell: the driver would have to hold them."""
+    scanned, clean = tables
+    right = {tuple(r) for r in scan_decisions(scanned, clean).collect()}
+    plans, write = {}, scans.written
+    monkeypatch.setattr(scans, "written", lambda df, name: plans.update({name: df}) or write(df, name))
+    if sent is not None:
+        monkeypatch.setattr(scans, "SENT_WORDS", sent)
+    out = scan_decisions(scanned, clean)
+    joins = {name: df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") for name, df in (plans | {"out": out}).items()}
+    assert {k: joins[k] for k in ("asked", "readings", "misread", "out")} == {"asked": 0, "readings": 0, "misread": 0, "out": int(sent is None)}
+    assert {tuple(r) for r in out.collect()} == right
