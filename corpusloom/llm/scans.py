@@ -11,6 +11,7 @@ know and that one such confusion parts from a word they know well; such words ar
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -30,6 +31,8 @@ WORD_SHARES, LINE_SHARE = (0.005, 0.015, 0.04), 0.002
 EDGE = 2
 #: Misread words, with what they were, up to which they are sent to all executors (some 20 MB as a hash table); more are shuffled.
 SENT_WORDS = 100_000
+#: Length of the first part of words that aren't broken: as long as any.
+WHOLE = 1000
 
 _ROMAN = r"(?=[ivxl])(?:x{0,3}|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
 _PAGE = re.compile(rf"\s*(?:[-–—\[(]+\s*)?(?:p(?:age|\.)?\s*)?(?:\d{{1,4}}|{_ROMAN})(?:\s*(?:of|/)\s*\d{{1,4}})?(?:\s*[-–—\])]+)?\s*\Z", re.IGNORECASE)
@@ -37,6 +40,8 @@ _ROW = re.compile(r"\s*\|?\s*[\d.,]+(?:[\s|]+[\d.,]+)+\s*\|?\s*\Z")
 _HEADING = re.compile(r"\s*\d+(?:\.\d+)+\s+\S")
 _OUTER_NUMBER = re.compile(r"\A\s*\d{1,4}\s{2,}|\s{2,}\d{1,4}\s*\Z")
 _TERMINAL = re.compile(r"[.!?。！？।:;,，、][\"'”’»)\]）」]*\s*\Z")
+#: Characters with which lines can end that _TERMINAL matches.
+_LAST = frozenset(".!?。！？।:;,，、\"'”’»)]）」")
 _KEY_TOKEN = re.compile(r"[^\W_]+(?:[!][^\W_]+)*|[|/()]")
 _TOKEN = re.compile(r"!?[^\W_]+(?:[!'’̀-ͯ-]?[^\W_]+)*!?")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
@@ -56,7 +61,10 @@ def folded(word: str) -> str:
 
 def key_tokens(line: str) -> list[str]:
     """Folded words of a line without a page number at its ends."""
-    return [folded(t) for t in _KEY_TOKEN.findall(_OUTER_NUMBER.sub("", line))]
+    bare = line.strip()
+    if bare[:1].isdigit() or bare[-1:].isdigit():
+        line = _OUTER_NUMBER.sub("", line)
+    return [folded(t) for t in _KEY_TOKEN.findall(line)]
 
 
 def is_page_number(line: str) -> bool:
@@ -122,14 +130,18 @@ def _too_much(line: str) -> bool:
 
 def _may_run(line: str, tokens: list[str]) -> bool:
     """Whether a line can be a header or footer at all."""
-    return 0 < len(tokens) <= 9 and not _ROW.match(line) and not _HEADING.match(line) and not (_TERMINAL.search(line) or line.rstrip()[-1:] in BREAKS)
+    if not 0 < len(tokens) <= 9:
+        return False
+    bare = line.strip()
+    if (bare[0].isdigit() or bare[0] in "|.,") and (_ROW.match(line) or _HEADING.match(line)):
+        return False
+    return bare[-1] not in BREAKS and not (bare[-1] in _LAST and _TERMINAL.search(line))
 
 
-def edges(lines: list[str], page: int | None = None) -> list[bool]:
-    """Lines near the edge of a page: the first and last of the text and those around page numbers, blank ones not counted."""
-    full = [k for k, x in enumerate(lines) if x.strip()]
+def edges(lines: list[str], full: list[int], numbers: list[int], page: int | None = None) -> list[bool]:
+    """Lines near the edge of a page: the first and last of the text and those around page numbers, blank ones not counted. full,
+    numbers: places of the lines that aren't blank, and of those that have the form of page numbers."""
     near = [False] * len(lines)
-    numbers = [k for k in full if is_page_number(lines[k])]
     sure = in_sequence(lines, numbers, [False] * len(lines), page, ()) if numbers else ()
     marks = [-1, len(full), *[p for p, k in enumerate(full) if k in sure]]
     for m in marks:
@@ -154,12 +166,14 @@ def _edge_rows(batches):
         at, numbers, tokens, edge, keys = [], [], [], [], []
         for i, (doc, page, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc", "page", "text")))):
             lines = t.split("\n")
-            near = edges(lines, page)
+            full = [k for k, x in enumerate(lines) if x.strip()]
+            forms = [k for k in full if is_page_number(lines[k])]
+            near = edges(lines, full, forms, page)
             passed = 0
-            for k, line in enumerate(lines):
-                if not line.strip():
-                    continue
-                if is_page_number(line):
+            forms = set(forms)
+            for k in full:
+                line = lines[k]
+                if k in forms:
                     kind, value = page_value(line)
                     # Numbers of one sequence are as far from their text's page; several in a text count its pages.
                     ks = [f"# {kind} {value - (page or 0) - n}" for n in {0, passed}] if doc is not None and near[k] else []
@@ -193,16 +207,19 @@ def recurring_lines(rows: DataFrame, texts: DataFrame) -> DataFrame:
     share of those that begin there. Without documents, lines that recur without any change in three texts, mostly at edges.
 
     All is counted by document and stretch of pages, so neither size of document nor of collection matters; the forms of a hot
-    document are summed where they are read.
+    document are summed where they are read. Most forms stand once or twice in their whole document: those are left out first, by
+    counts of hashes of a document and form, which may let some more pass.
     """
     page = F.coalesce("page", F.lit(0))
     stretch = F.explode(F.array(*_stretches(page))).alias("stretch")
     n_texts = texts.filter("doc IS NOT NULL").select("doc", stretch).groupBy("doc", "stretch").agg(F.count("*").alias("n_texts"))
-    edge = rows.filter("edge AND size(keys) > 0")
-    each = edge.filter("doc IS NOT NULL").select("id", "field_name", "line", "doc", stretch, F.explode("keys").alias("key"))
-    often = each.groupBy("doc", "stretch", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= PAGES)
-    # Lines that recur within one text are counted once, but only the few forms that may pass are looked at so closely.
-    once = each.join(often.select("doc", "stretch", "key"), ["doc", "stretch", "key"]).dropDuplicates(["doc", "stretch", "key", "id", "field_name"])
+    edge = rows.filter("edge AND size(keys) > 0 AND doc IS NOT NULL").select("id", "field_name", "line", "doc", "page", F.explode("keys").alias("key"))
+    forms = edge.withColumn("form", F.xxhash64("doc", "key"))
+    often = forms.groupBy("form").agg(F.count("*").alias("n")).filter(F.col("n") >= PAGES).select("form")
+    # The hashes that recur fit in a hash table of each task, so the many forms need no sort.
+    each = written(forms.join(often.hint("shuffle_hash"), "form", "left_semi").drop("form"), "forms").select("id", "field_name", "line", "doc", stretch, "key")
+    # Lines that recur within one text are counted once.
+    once = each.dropDuplicates(["doc", "stretch", "key", "id", "field_name"])
     good = once.groupBy("doc", "stretch", "key").agg(F.count("*").alias("n")).join(n_texts, ["doc", "stretch"])
     good = good.filter((F.col("n") >= PAGES) & (F.col("n") >= PAGE_SHARE * F.col("n_texts"))).select("doc", "stretch", "key")
     found = each.join(good, ["doc", "stretch", "key"]).select("id", "field_name", "line")
@@ -217,8 +234,32 @@ def recurring_lines(rows: DataFrame, texts: DataFrame) -> DataFrame:
 def line_key(tokens: list[str], words: set) -> str | None:
     """The line with all but fixed words masked; None if too little is fixed to tell a header by."""
     out = [t if t in words or not t[0].isalpha() else "*" for t in tokens]
-    masked, fixed = out.count("*"), sum(t[0].isalpha() for t in out)
-    return " ".join(out) if fixed and masked <= 2 and masked <= fixed + 1 else None
+    if (masked := out.count("*")) > 2:
+        return None
+    fixed = len([t for t in out if t[0].isalpha()])
+    return " ".join(out) if fixed and masked <= fixed + 1 else None
+
+
+def _usual_keys(levels: list[set]):
+    """(tokens, edge) -> level, key, e, n: masked lines that may tell headers with each level's fixed words, how often they stand at
+    edges and at all in a batch. levels: each holds the next one's words."""
+
+    def run(batches):
+        for batch in batches:
+            e, n = Counter(), Counter()
+            for tokens, edge in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for level, fixed in enumerate(levels):
+                    # More than two masked words are too many, and the next levels mask as many.
+                    if len([t for t in tokens if t not in fixed and t[0].isalpha()]) > 2:
+                        break
+                    if (key := line_key(tokens, fixed)) is not None:
+                        n[level, key] += 1
+                        e[level, key] += edge
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([a for a, _ in n], pa.int32()), pa.array([k for _, k in n], pa.string()), pa.array([e[x] for x in n], pa.int64()), pa.array(list(n.values()), pa.int64())], ["level", "key", "e", "n"]
+            )
+
+    return run
 
 
 class Furniture:
@@ -241,14 +282,10 @@ class Furniture:
         per_text = at_edge.select("id", F.explode(F.array_distinct("tokens")).alias("t")).filter(F.col("t").rlike(r"^\p{L}")).distinct()
         counts = per_text.groupBy("t").agg(F.count("*").alias("n"))
         often = [(r["t"], r["n"]) for r in counts.filter(F.col("n") >= max(3, WORD_SHARES[0] * n)).collect()]
-        self.levels = []
-        for share in WORD_SHARES:
-            fixed = {t for t, k in often if k >= max(3, share * n)}
-            words = F.array(*[F.lit(w) for w in sorted(fixed)]) if fixed else F.array().cast("array<string>")
-            masked = F.transform("tokens", lambda t: F.when(F.array_contains(words, t) | ~t.rlike(r"^\p{L}"), t).otherwise(F.lit("*")))
-            keys = rows.select(F.array_join(masked, " ").alias("key"), "edge").groupBy("key").agg(F.count_if("edge").alias("e"), F.count("*").alias("n"))
-            found = keys.filter((F.col("e") >= max(3, LINE_SHARE * n)) & (F.col("e") >= 0.6 * F.col("n"))).select("key").collect()
-            self.levels.append((fixed, {k for (k,) in found if line_key(k.split(" "), fixed) == k}))
+        fixed = [{t for t, k in often if k >= max(3, share * n)} for share in WORD_SHARES]
+        keys = rows.select("tokens", "edge").mapInArrow(_usual_keys(fixed), "level int, key string, e long, n long").groupBy("level", "key").agg(F.sum("e").alias("e"), F.sum("n").alias("n"))
+        found = keys.filter((F.col("e") >= max(3, LINE_SHARE * n)) & (F.col("e") >= 0.6 * F.col("n"))).collect()
+        self.levels = [(words, {r["key"] for r in found if r["level"] == level}) for level, words in enumerate(fixed)]
 
 
 class _Marks:
@@ -256,6 +293,7 @@ class _Marks:
 
     def __init__(self, levels):
         self.levels = levels
+        self.told = {t for _, keys in levels for key in keys for t in key.split(" ")}
 
     def marks(self, lines: list[str], page: int | None = None, known=()) -> list[bool]:
         """Which lines are headers, footers or page numbers; known: places of those that the document's other pages tell."""
@@ -269,8 +307,8 @@ class _Marks:
         if not line.strip() or is_page_number(line) or _too_much(line):
             return False
         ts = key_tokens(line)
-        # More than three words that no level has fixed can't be masked away.
-        if sum(t[0].isalpha() and t not in self.levels[0][0] for t in ts) > 2:
+        # More than two words that stand in no usual wording can't be masked away.
+        if len([t for t in ts if t not in self.told]) > 2:
             return False
         return _may_run(line, ts) and any(self._recurs(ts, fixed, keys) for fixed, keys in self.levels)
 
@@ -296,17 +334,21 @@ def split_words(lines: list[str], furniture: list[bool]):
 
 
 def _line_rows(marked):
-    """(id, field_name, page, known, text) -> what is to be decided of its lines: kind and words (see scan_decisions)."""
+    """(id, field_name, page, known, text) -> what is to be decided of its lines (see scan_decisions): kind; of broken words the parts
+    joined, as they are, and whether the hyphen belongs to them; words, the line that their rest is on and how long the first part is."""
 
     def run(batches):
         for batch in batches:
-            at, numbers, kinds, words = [], [], [], []
+            at, numbers, kinds, parts, words, lefts, afters = [], [], [], [], [], [], []
 
-            def note(i, k, kind, w):
+            def note(i, k, kind, of=None, w=None, left=None, after=None):
                 at.append(i)
                 numbers.append(k + 1)
                 kinds.append(kind)
+                parts.append(of)
                 words.append(w)
+                lefts.append(left)
+                afters.append(after)
 
             for i, (page, known, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page", "known", "text")))):
                 lines = t.split("\n")
@@ -316,28 +358,34 @@ def _line_rows(marked):
                     heads[after], tails[k] = right, left
                     belongs = right[0].isdigit() or right[0].isupper() or any(c.isdigit() for c in left)
                     note(i, k, "hyphen" if sure else "maybe", [left.lower() + right.lower(), f"{left}-{right}".lower(), "1" if belongs else ""])
-                    note(i, k, "split", [left.lower() + right.lower(), str(len(left)), str(after + 1)])
+                    note(i, k, "words", None, [left.lower() + right.lower()], len(left), after + 1)
                 for k, line in enumerate(lines):
                     if marks[k]:
-                        note(i, k, "furniture", [])
+                        note(i, k, "furniture")
                     elif line.strip():
-                        found = list(_TOKEN.finditer(line))
-                        inner = []
-                        bare = bool(_CJK.search(line))
-                        for j, m in enumerate(found):
-                            first = j == 0 and not line[: m.start()].strip()
-                            last = j == len(found) - 1 and not line[m.end() :].strip(" " + BREAKS)
-                            if (first and k in heads) or (last and k in tails) or ((first or last) and bare):
-                                continue  # perhaps only a part of a word
-                            w = m.group().lower()
-                            inner.append(w)
+                        plain = line.isascii()
+                        bare = not plain and bool(_CJK.search(line))
+                        if bare or k in heads or k in tails:
+                            found = list(_TOKEN.finditer(line))
+                            inner = []
+                            for j, m in enumerate(found):
+                                first = j == 0 and not line[: m.start()].strip()
+                                last = j == len(found) - 1 and not line[m.end() :].strip(" " + BREAKS)
+                                if (first and k in heads) or (last and k in tails) or ((first or last) and bare):
+                                    continue  # perhaps only a part of a word
+                                inner.append(m.group().lower())
+                        else:
+                            inner = _TOKEN.findall(line.lower()) if plain else [w.lower() for w in _TOKEN.findall(line)]
                         if inner:
-                            note(i, k, "words", inner)
+                            note(i, k, "words", None, inner, WHOLE, k + 1)
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(numbers, pa.int32()), pa.array(kinds, pa.string()), pa.array(words, pa.list_(pa.string()))],
-                ["id", "field_name", "line_no", "kind", "words"],
-            )
+                [
+                    batch.column(0).take(take), batch.column(1).take(take), pa.array(numbers, pa.int32()), pa.array(kinds, pa.string()),
+                    pa.array(parts, pa.list_(pa.string())), pa.array(words, pa.list_(pa.string())), pa.array(lefts, pa.int32()), pa.array(afters, pa.int32()),
+                ],
+                ["id", "field_name", "line_no", "kind", "parts", "words", "left", "after"],
+            )
 
     return run
 
@@ -430,11 +478,12 @@ def _correcting(confusions):
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
-    """word, n: words of the clean texts in lower case, whole and at hyphens."""
-    whole = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}\p{N}]+(?:['’-][\p{L}\p{M}\p{N}]+)*)"), F.lit(1))).alias("word"))
-    n = whole.groupBy("word").agg(F.count("*").alias("n"))
-    parts = n.filter(F.col("word").contains("-")).select(F.explode(F.split("word", "-")).alias("word"), "n")
-    return n.unionByName(parts).groupBy("word").agg(F.sum("n").alias("n"))
+    """word, n: words of the clean texts in lower case, whole and at hyphens. Words have no blanks, so each piece between blanks is
+    taken apart once, however often it stands there."""
+    pieces = texts.select(F.explode(F.split("text", " ")).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+    whole = pieces.select(F.explode(F.regexp_extract_all(F.lower("piece"), F.lit(r"([\p{L}\p{M}\p{N}]+(?:['’-][\p{L}\p{M}\p{N}]+)*)"), F.lit(1))).alias("word"), "n")
+    parts = F.when(F.col("word").contains("-"), F.concat(F.array("word"), F.split("word", "-"))).otherwise(F.array("word"))
+    return whole.select(F.explode(parts).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def scan_decisions(scanned: DataFrame, clean: DataFrame) -> DataFrame:
@@ -447,21 +496,18 @@ def scan_decisions(scanned: DataFrame, clean: DataFrame) -> DataFrame:
     kind = dict(scanned.dtypes)["id"]
     told = furniture.texts.select("id", "field_name", "page", "known", "text")
     marked = _Marks(furniture.levels)
-    lines = written(told.mapInArrow(_line_rows(marked.marks), f"id {kind}, field_name string, line_no int, kind string, words array<string>"), "lines")
+    lines = written(told.mapInArrow(_line_rows(marked.marks), f"id {kind}, field_name string, line_no int, kind string, parts array<string>, words array<string>, left int, after int"), "lines")
     vocab = written(vocabulary(clean), "vocabulary")
     joined = vocab.select(F.col("word").alias("joined"), F.col("n").alias("n_joined"))
     kept = vocab.select(F.col("word").alias("kept"), F.col("n").alias("n_kept"))
-    none = F.lit(None).cast("string")
-    out = lines.filter("kind = 'furniture'").select("id", "field_name", "line_no", "kind", none.alias("word"), none.alias("right"))
-    sure = lines.filter("kind = 'hyphen'").select("id", "field_name", "line_no", "kind", F.col("words")[1].alias("word"), F.col("words")[0].alias("right"))
-    maybe = lines.filter("kind = 'maybe'").select("id", "field_name", "line_no", F.col("words")[0].alias("joined"), F.col("words")[1].alias("kept"), (F.col("words")[2] == "1").alias("belongs"))
+    # Furniture has no parts, so its words are null.
+    out = lines.filter("kind IN ('furniture', 'hyphen')").select("id", "field_name", "line_no", "kind", F.col("parts")[1].alias("word"), F.col("parts")[0].alias("right"))
+    maybe = lines.filter("kind = 'maybe'").select("id", "field_name", "line_no", F.col("parts")[0].alias("joined"), F.col("parts")[1].alias("kept"), (F.col("parts")[2] == "1").alias("belongs"))
     maybe = maybe.join(_by_shuffle(joined), "joined", "left").join(_by_shuffle(kept), "kept", "left").fillna(0, ["n_joined", "n_kept"])
     broken = F.when(F.col("n_joined") != F.col("n_kept"), F.col("n_joined") > F.col("n_kept")).otherwise(~F.col("belongs"))
     maybe = maybe.filter(broken).select("id", "field_name", "line_no", F.lit("hyphen").alias("kind"), F.col("kept").alias("word"), F.col("joined").alias("right"))
     # Words of content lines, broken ones joined, each with the line that holds its first part and how long that part is.
-    plain = lines.filter("kind = 'words'").select("id", "field_name", "line_no", F.explode("words").alias("word"), F.lit(1000).alias("left"), F.col("line_no").alias("after"))
-    split = lines.filter("kind = 'split'").select("id", "field_name", "line_no", F.col("words")[0].alias("word"), F.col("words")[1].cast("int").alias("left"), F.col("words")[2].cast("int").alias("after"))
-    words = plain.unionByName(split)
+    words = lines.filter("kind = 'words'").select("id", "field_name", "line_no", F.explode("words").alias("word"), "left", "after")
     known = vocab.select("word", "n")
     asked = words.select("word").distinct().join(_by_shuffle(known), "word", "left").fillna(0, ["n"])
     asked = written(asked, "asked")
@@ -476,7 +522,7 @@ def scan_decisions(scanned: DataFrame, clean: DataFrame) -> DataFrame:
     misread = words.join(best, "word").select(
         "id", "field_name", F.when(F.col("at") < F.col("left"), F.col("line_no")).otherwise(F.col("after")).alias("line_no"), F.lit("misread").alias("kind"), "word", "right"
     )
-    return out.unionByName(sure).unionByName(maybe).unionByName(misread)
+    return out.unionByName(maybe).unionByName(misread)
 
 
 def repaired(text: str, decisions: list[tuple[int, str, str | None, str | None]]) -> str:

@@ -1,9 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import scans
-from corpusloom.llm.scans import _Marks, corrections, folded, in_sequence, is_page_number, learnt_confusions, page_value, repair_scans, repaired, scan_decisions
+from corpusloom.llm.scans import _Marks, corrections, folded, in_sequence, is_page_number, learnt_confusions, page_value, repair_scans, repaired, scan_decisions, vocabulary
 
 BODY = ["the pump feeds the cool-", "ing loop and the valve", "stops the motor at night.", "3.1 Details", "12 13 14", "A real-", "time clock ru1es here."]
 
@@ -118,3 +119,62 @@ def test_only_few_misread_words_are_broadcast(tables, monkeypatch, sent):
     joins = {name: df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") for name, df in (plans | {"out": out}).items()}
     assert {k: joins[k] for k in ("asked", "readings", "misread", "out")} == {"asked": 0, "readings": 0, "misread": 0, "out": int(sent is None)}
     assert {tuple(r) for r in out.collect()} == right
+
+
+def test_vocabulary_takes_texts_apart_once(spark):
+    texts = spark.createDataFrame([("Low-noise low-noise\nA  b's x--y l'eau-vive ΣΑΣ ",), ("low, low-noise. 東京 -a- 1st",), ("",), (None,)], "text string")
+    got = vocabulary(texts)
+    assert {r["word"]: r["n"] for r in got.collect()} == {
+        "low-noise": 3, "low": 4, "noise": 3, "a": 2, "b's": 1, "x": 1, "y": 1, "l'eau-vive": 1, "l'eau": 1, "vive": 1, "σας": 1, "東京": 1, "1st": 1}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_lines_of_the_content_are_not_masked(monkeypatch):
+    """Only lines whose words stand in a usual wording, but for two, are masked level by level."""
+    asked, key = [], scans.line_key
+    monkeypatch.setattr(scans, "line_key", lambda tokens, words: asked.append(tokens) or key(tokens, words))
+    fixed = {folded(w) for w in "the handbook of pump and valve stops motor".split()}
+    wording = " ".join(folded(w) for w in ("the", "handbook", "of")) + " *"
+    marks = _Marks([(fixed, {wording}), (fixed, {wording})]).marks
+    assert marks(["the valve stops the motor and pump"] * 3) == [False] * 3 and not asked
+    assert marks(["The Handbook of Kestanox", "the valve stops the motor and pump"]) == [True, False] and asked
+
+
+def test_usual_keys_are_those_of_each_level():
+    rows = [(["a", "b", "0"], True), (["a", "x", "0"], False), (["a", "x", "0"], True), (["x", "y", "z"], True), (["0"], True), (["a", "b", "x", "y"], True)]
+    levels = [{"a", "b"}, {"a"}, set()]
+    right = {}
+    for tokens, edge in rows:
+        for level, fixed in enumerate(levels):
+            if (k := scans.line_key(tokens, fixed)) is not None:
+                e, n = right.get((level, k), (0, 0))
+                right[level, k] = (e + edge, n + 1)
+    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows]), pa.array([e for _, e in rows])], ["tokens", "edge"])
+    (got,) = scans._usual_keys(levels)([batch])
+    assert {(r["level"], r["key"]): (r["e"], r["n"]) for r in got.to_pylist()} == right and right[1, "a * 0"] == (2, 3)
+
+
+def test_quick_looks_at_lines_lose_nothing():
+    r = random.Random(3)
+    signs = ["7", "12", "3.1", "|", ".", ",", " ", "  ", "\t", " ", "Pump", "a", ")", "”", "?", "。", "-", "¬", "²", "٣", "　", "n", "'", "’", "x's", "é", "東"]
+    for _ in range(4_000):
+        line = "".join(r.choices(signs, k=r.randint(1, 7)))
+        tokens = [folded(t) for t in scans._KEY_TOKEN.findall(scans._OUTER_NUMBER.sub("", line))]
+        assert scans.key_tokens(line) == tokens
+        may = 0 < len(tokens) <= 9 and not scans._ROW.match(line) and not scans._HEADING.match(line) and not (scans._TERMINAL.search(line) or line.rstrip()[-1:] in scans.BREAKS)
+        assert scans._may_run(line, tokens) == may
+        (got,) = scans._line_rows(lambda lines, page, known: [False] * len(lines))([pa.RecordBatch.from_arrays([pa.array([v]) for v in (1, "text", 1, [0], line)], ["id", "field_name", "page", "known", "text"])])
+        found, bare = list(scans._TOKEN.finditer(line)), bool(scans._CJK.search(line))
+        ends = [(j == 0 and not line[: m.start()].strip()) or (j == len(found) - 1 and not line[m.end() :].strip(" " + scans.BREAKS)) for j, m in enumerate(found)]
+        inner = [m.group().lower() for m, end in zip(found, ends) if not (end and bare)]
+        assert got.column("words").to_pylist() == ([inner] if inner else [])
+
+
+def test_only_forms_that_recur_in_their_document_move_on(tables, monkeypatch):
+    scanned, clean = tables
+    seen, write = {}, scans.written
+    monkeypatch.setattr(scans, "written", lambda df, name: seen.update({name: write(df, name)}) or seen[name])
+    rows = [(f"{d}{p}", "ocr_text", d, p, f"{d} Handbook\nquite other w{'abcdefgh'[p]}{d} words\nbody text here.") for d in ("Alpha", "Bravo") for p in range(1, 6)]
+    got = scan_decisions(scanned.sparkSession.createDataFrame(rows, "id string, field_name string, doc string, page int, text string"), clean).filter("kind = 'furniture'")
+    assert {(r["id"], r["line_no"]) for r in got.collect()} == {(i, 1) for i, *_ in rows} | {(i, 2) for i, *_ in rows}
+    assert {r["key"].count("*") for r in seen["forms"].select("key").filter(f"key LIKE '{folded('quite')}%'").collect()} == {1} and seen["forms"].count() < seen["edges"].selectExpr("explode(keys)").count()
